@@ -32,14 +32,18 @@ def stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) ->
     return reader.parquet(sf_dir)
 
 
-def document_pairs(documents: DataFrame) -> DataFrame:
-    """Lines 1 and 2 of each document as a pair, in order of doc_id."""
-    lines = documents.select(
+def line_pairs(documents: DataFrame) -> DataFrame:
+    """Lines 1 and 2 as raw rows of a hub data set, an empty line as null."""
+    return documents.select(
         F.col("doc_id").alias("ord"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("line1"),
-        F.split_part("text", F.lit("\n"), F.lit(2)).alias("line2"),
+        F.nullif(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("")).alias("fr"),
+        F.nullif(F.split_part("text", F.lit("\n"), F.lit(2)), F.lit("")).alias("transcription"),
     )
-    return to_pairs(lines, "line1", "line2", keep=["ord"])
+
+
+def document_pairs(documents: DataFrame) -> DataFrame:
+    """Lines 1 and 2 of each document as a pair, in order of doc_id."""
+    return to_pairs(line_pairs(documents), "fr", "transcription", keep=["ord"])
 
 
 def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,3 +177,29 @@ def stub_factory() -> Callable[[], Callable[[str, int, float], str]]:
 
     return make
 
+
+def failing_factory() -> Callable[[], Callable[[str, int, float], str]]:
+    """A model that cannot answer prompts with the letters 'ei'."""
+
+    def make():
+        def answer(prompt: str, max_tokens: int, temperature: float) -> str:
+            if "ei" in prompt:
+                raise ValueError("no answer to ei")
+            return prompt
+
+        return answer
+
+    return make
+
+
+def echo_factory() -> Callable[[], Callable[[str, int, float], str]]:
+    """A model that prints the phrase it should translate, like a generation command would."""
+
+    def make():
+        def answer(prompt: str, max_tokens: int, temperature: float) -> str:
+            phrase = prompt.split("Traduis en Dioula : ")[1].split("<|eot_id|>")[0]
+            return f"==========\n{phrase}\n==========\nPrompt: {max_tokens} tokens"
+
+        return answer
+
+    return make

@@ -260,6 +260,22 @@ SELECT request_id, true AS success, session_id, reponse,
 FROM replies
 """
 
+_TRANSLATE = f"""
+WITH {_TRANSLATE_REQUESTS},
+directed AS (SELECT *,
+  CASE direction WHEN 'fr_to_dioula' THEN {_fill(V.FORWARD_REQUEST, 'texte')}
+                 ELSE {_fill(V.REVERSE_REQUEST, 'texte')} END AS message
+  FROM checked WHERE errors = '')
+SELECT request_id, true AS success, texte AS texte_original,
+       {_stub('256', _prompt('message'))} AS traduction, direction,
+       CASE direction WHEN 'fr_to_dioula' THEN 'français' ELSE 'dioula' END AS langue_source,
+       CASE direction WHEN 'fr_to_dioula' THEN 'dioula' ELSE 'français' END AS langue_cible
+FROM directed
+"""
+_REJECTED = f"""
+WITH {_CHAT_REQUESTS} SELECT request_id, errors FROM checked WHERE errors <> ''
+"""
+
 _PREDICTIONS = f"""
 {_TURN_PAIRS},
 predicted AS (SELECT conv_id, turn,
@@ -272,8 +288,7 @@ matched AS (SELECT p.conv_id, p.turn, p.source, p.target AS reference,
             FROM pairs p LEFT JOIN predicted USING (conv_id, turn))
 """
 _REF_WORDS = f"list_distinct({_words('lower(reference)')})"
-_SCORED = f"""
-{_PREDICTIONS},
+_SCORING = f"""
 measured AS (SELECT *,
   {_strip('lower(prediction)')} = {_strip('lower(reference)')} AS exact,
   {_bigrams('prediction')} AS bp, {_bigrams('reference')} AS br,
@@ -289,6 +304,12 @@ scored AS (SELECT *,
   CASE WHEN exact THEN 'EXACT' WHEN word_recall >= 0.5 OR char_similarity >= 0.6 THEN 'PARTIEL'
        ELSE 'FAUX' END AS status FROM rated)
 """
+_SCORED = f"{_PREDICTIONS}, {_SCORING}"
+_ECHO = f"{_strip('split_part(source, chr(10), 1)')}"
+_ECHOED = f"""
+{_TURN_PAIRS},
+matched AS (SELECT conv_id, turn, target AS reference, {_ECHO} AS prediction FROM pairs)
+"""
 _TOTAL_COLUMNS = f"""
   count(*) FILTER (exact) AS exact, count(*) FILTER (partial) AS partial, count(*) AS total,
   (count(*) FILTER (exact))::DOUBLE / count(*) * 100 AS pct_exact,
@@ -298,6 +319,12 @@ _TOTAL_COLUMNS = f"""
 """
 _TOTALS = f"totals AS (SELECT {_TOTAL_COLUMNS} FROM scored)"
 
+_REPORT = f"""
+SELECT 'aligned_dataset' AS benchmark, {_rounded('pct_exact', 1)} AS score_exact_pct,
+       {_rounded('pct_global', 1)} AS score_global_pct,
+       {_rounded('avg_similarity', 1)} AS avg_char_similarity_pct, exact, partial, total
+FROM totals"""
+
 
 def _known(new: str, corpus: str, sides: list[str]) -> str:
     same = " AND ".join(
@@ -389,7 +416,20 @@ FROM sized GROUP BY split""",
     "split_totals": f"WITH {_ROW_SPLIT} SELECT split, count(*) AS n_examples FROM splits GROUP BY split",
     "preview_shuffled": f"""
 WITH {_TURN_PAIRS}, {_placed('pairs', 'conv_id, turn')}
-SELECT pos, source, target FROM placed ORDER BY pos LIMIT 5""",
+SELECT source, target FROM placed ORDER BY pos LIMIT 5""",
+    "preview_raw": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 5",
+    "split_files": f"""
+SELECT CASE WHEN ord IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'other' END AS split,
+       ord, source, target, 'fr' AS source_lang, 'dioula' AS target_lang FROM ({_ALL})""",
+    "raw_files": "SELECT * FROM conversations",
+    "seed_files": f"""
+SELECT ord, source, target, 'fr' AS source_lang, 'dioula' AS target_lang FROM ({_CURATED})""",
+    "corpus_files": f"""
+WITH {_CORPUS} SELECT source, target, source_lang, target_lang FROM corpus""",
+    "example_files": f"WITH {_ROW_SPLIT} SELECT prompt, completion, split FROM splits",
+    "report_files": f"WITH {_ECHOED}, {_SCORING}, {_TOTALS} {_REPORT}",
+    "smoke_files": """
+SELECT count(*) AS passed, count(*) AS total, 'ready' AS verdict FROM conversations""",
     "example_build": f"""
 WITH {_CORPUS}, {_placed('corpus', 'source, target', 'shuffled')},
 kept AS (SELECT source, target FROM shuffled
@@ -419,18 +459,15 @@ SELECT request_id, session_id, max_tokens, temperature, errors FROM checked""",
 WITH {_TRANSLATE_REQUESTS} SELECT request_id, direction, errors FROM checked""",
     "generate_stub": f"""
 SELECT request_id, 'stub 100: ' || lower(text) AS output, true AS success FROM {_TURNS}""",
+    "generate_errors": f"""
+SELECT request_id, CASE WHEN NOT contains(text, 'ei') THEN text END AS output,
+       NOT contains(text, 'ei') AS success,
+       CASE WHEN contains(text, 'ei') THEN 'no answer to ei' END AS error FROM {_TURNS}""",
+    "rejected_requests": _REJECTED,
     "chat": _CHAT,
-    "translate": f"""
-WITH {_TRANSLATE_REQUESTS},
-directed AS (SELECT *,
-  CASE direction WHEN 'fr_to_dioula' THEN {_fill(V.FORWARD_REQUEST, 'texte')}
-                 ELSE {_fill(V.REVERSE_REQUEST, 'texte')} END AS message
-  FROM checked WHERE errors = '')
-SELECT request_id, true AS success, texte AS texte_original,
-       {_stub('256', _prompt('message'))} AS traduction, direction,
-       CASE direction WHEN 'fr_to_dioula' THEN 'français' ELSE 'dioula' END AS langue_source,
-       CASE direction WHEN 'fr_to_dioula' THEN 'dioula' ELSE 'français' END AS langue_cible
-FROM directed""",
+    "translate": _TRANSLATE,
+    "translate_stream": _TRANSLATE,
+    "reject_stream": _REJECTED,
     "latency": """
 WITH calls AS (SELECT event_type AS mode, floor(value)::INT AS ms FROM events)
 SELECT mode, count(*) AS n_calls, sum(ms)::DOUBLE / count(ms) AS mean_ms,
@@ -440,12 +477,7 @@ FROM calls GROUP BY mode""",
     "matched_predictions": f"WITH {_PREDICTIONS} SELECT * FROM matched",
     "scored_items": f"""
 WITH {_SCORED} SELECT conv_id, turn, char_similarity, exact, partial, status FROM scored""",
-    "benchmark_report": f"""
-WITH {_SCORED}, {_TOTALS}
-SELECT 'aligned_dataset' AS benchmark, {_rounded('pct_exact', 1)} AS score_exact_pct,
-       {_rounded('pct_global', 1)} AS score_global_pct,
-       {_rounded('avg_similarity', 1)} AS avg_char_similarity_pct, exact, partial, total
-FROM totals""",
+    "benchmark_report": f"WITH {_SCORED}, {_TOTALS} {_REPORT}",
     "benchmark_verdict": f"""
 WITH {_SCORED}, {_TOTALS}
 SELECT *, CASE WHEN pct_global >= 60 THEN 'good' WHEN pct_global >= 35 THEN 'fair'

@@ -26,14 +26,30 @@ from tandem.operators.examples import (
     with_text,
 )
 from tandem.operators.generate import generate
-from tandem.operators.pairs import coverage, coverage_rate, min_chars, novel_rows, pair_predictions
+from tandem.operators.pairs import (
+    coverage,
+    coverage_rate,
+    min_chars,
+    novel_rows,
+    pair_predictions,
+    to_pairs,
+)
 from tandem.operators.requests import (
     fill_chat_defaults,
     fill_translate_defaults,
+    rejected,
     validate_chat,
     validate_translate,
 )
-from tandem.operators.sample import cap, leakage, shuffle_pos, split, split_at, split_hash
+from tandem.operators.sample import (
+    cap,
+    first_shuffled,
+    leakage,
+    shuffle_pos,
+    split,
+    split_at,
+    split_hash,
+)
 from tandem.operators.score import (
     score_items,
     score_report,
@@ -42,9 +58,21 @@ from tandem.operators.score import (
     smoke_report,
 )
 from tandem.plans.corpus import build_corpus, prepare_examples
+from tandem.plans.evaluate import publish, run_benchmark, run_smoke
 from tandem.plans.serve import chat_job, translate_job
+from tandem.sources.readers import (
+    read_benchmark,
+    read_cases,
+    read_examples,
+    read_optional,
+    read_pairs,
+    read_raw,
+    read_seed,
+    read_splits,
+)
+from tandem.sources.schemas import PAIR
 from tandem.sources.workspace import fresh_path, stage
-from tandem.sources.writers import preview, split_sizes
+from tandem.sources.writers import preview, split_sizes, write_examples, write_pairs, write_raw
 from tandem.streaming.append import stream_append
 from tandem.streaming.serve import stream_job
 
@@ -116,7 +144,7 @@ def text_measures(spark, sf):
         F.length(strip(text)).alias("n_stripped"),
         word_count(text).alias("n_words"),
         F.size(words(F.lower(text))).alias("n_distinct_words"),
-        F.size(F.array_distinct(bigrams(text))).alias("n_bigrams"),
+        F.size(bigrams(text)).alias("n_bigrams"),
     )
 
 
@@ -204,9 +232,12 @@ def split_totals(spark, sf):
     return stats.split_counts(_example_splits(spark, sf))
 
 
+def preview_raw(spark, sf):
+    return preview(R.table(spark, sf, "documents").select("doc_id", "text"), ["doc_id"], 5)
+
+
 def preview_shuffled(spark, sf):
-    placed = shuffle_pos(R.turn_pairs(spark, sf), SEED, TURN_KEYS, unique=True)
-    return preview(placed.select("pos", "source", "target"), ["pos"], 5)
+    return first_shuffled(R.turn_pairs(spark, sf), 5, SEED, TURN_KEYS).select("source", "target")
 
 
 def example_build(spark, sf):
@@ -220,6 +251,78 @@ def example_build(spark, sf):
     )
 
 
+# files
+
+
+def split_files(spark, sf):
+    """Documents landed as two named splits, read back as nullable sides and cleaned."""
+    labelled = R.table(spark, sf, "labels").select("doc_id")
+    rows = R.line_pairs(R.table(spark, sf, "documents"))
+    known = rows.join(labelled, F.col("ord") == F.col("doc_id"), "left_semi")
+    other = rows.join(labelled, F.col("ord") == F.col("doc_id"), "left_anti")
+    paths = {"labelled": fresh_path(spark, "split"), "other": fresh_path(spark, "split")}
+    write_raw(known, paths["labelled"])
+    write_raw(other, paths["other"])
+    landed = read_splits(spark, paths)
+    return to_pairs(landed, "fr", "transcription", keep=["split", "ord"])
+
+
+def raw_files(spark, sf):
+    """Conversations landed as JSON lines and read back with their declared schema."""
+    path = fresh_path(spark, "raw")
+    write_raw(R.table(spark, sf, "conversations"), path, "json")
+    return read_raw(spark, path, R.TURN, "json")
+
+
+def seed_files(spark, sf):
+    """Curated lines landed as a csv file of seed pairs, read back and cleaned."""
+    good = R.table(spark, sf, "labels").filter("quality = 1").select("doc_id")
+    lines = R.line_pairs(R.table(spark, sf, "documents").join(good, "doc_id", "left_semi"))
+    path = fresh_path(spark, "seed")
+    named = lines.select("ord", "fr", F.col("transcription").alias("dioula"))
+    named.write.option("escape", '"').csv(path, header=True)
+    return to_pairs(read_seed(spark, path, "csv"), "fr", "dioula", keep=["ord"])
+
+
+def corpus_files(spark, sf):
+    """The corpus written as JSON lines and read back, joined by a source that does not exist."""
+    path, missing = fresh_path(spark, "corpus"), fresh_path(spark, "missing")
+    write_pairs(_corpus(spark, sf), path, "json")
+    extra = read_optional(spark, lambda: read_pairs(spark, missing), PAIR)
+    return read_pairs(spark, path, "json").unionByName(extra)
+
+
+def example_files(spark, sf):
+    """Split examples written once into one folder per split, and read back."""
+    path = fresh_path(spark, "examples")
+    write_examples(_example_splits(spark, sf), path)
+    return read_examples(spark, path)
+
+
+def report_files(spark, sf):
+    """Benchmark items read from JSON, generated, cleaned, scored and published."""
+    items, path = fresh_path(spark, "items"), fresh_path(spark, "report")
+    pairs = R.turn_pairs(spark, sf).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"),
+        F.col("source").alias("fr"),
+        F.col("target").alias("dioula"),
+    )
+    write_raw(pairs, items, "json")
+    return publish(run_benchmark(read_benchmark(spark, items), R.echo_factory()), path)
+
+
+def smoke_files(spark, sf):
+    """Smoke prompts read from JSON, generated and judged."""
+    path = fresh_path(spark, "cases")
+    cases = R.table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"),
+        F.col("role").alias("type"),
+        F.concat(F.lit("Traduis en Dioula : "), F.col("text")).alias("prompt"),
+    )
+    write_raw(cases, path, "json")
+    return run_smoke(read_cases(spark, path), R.echo_factory())
+
+
 # language, intent, clean-up
 
 
@@ -279,6 +382,22 @@ def generate_stub(spark, sf):
     )
 
 
+def generate_errors(spark, sf):
+    """A model that fails on some prompts: their rows carry the error, all others their reply."""
+    turns = R.user_turns(R.table(spark, sf, "conversations")).select(
+        "request_id", F.col("text").alias("prompt"),
+        F.lit(100).alias("max_tokens"), F.lit(0.3).alias("temperature"),
+    )
+    return generate(turns, R.failing_factory()).select("request_id", "generated.*").drop(
+        "latence_ms"
+    )
+
+
+def rejected_requests(spark, sf):
+    chats = rejected(validate_chat(R.chat_requests(R.table(spark, sf, "conversations"))))
+    return chats.select("request_id", F.concat_ws(",", "errors").alias("errors"))
+
+
 def _reply_columns(replies: DataFrame) -> DataFrame:
     return replies.withColumn("model", F.col("metadata")["model"]).drop(
         "latence_ms", "metadata", "error"
@@ -356,6 +475,32 @@ def request_stream(spark, sf):
     return spark.read.parquet(path)
 
 
+def translate_stream(spark, sf):
+    requests = R.translate_requests(R.stream(spark, sf, "conversations", R.TURN))
+    path = fresh_path(spark, "replies")
+    stream_job(
+        requests,
+        lambda rows: translate_job(rows, R.stub_factory()).drop("latence_ms", "error"),
+        path,
+        fresh_path(spark, "checkpoint"),
+    ).awaitTermination()
+    return spark.read.parquet(path)
+
+
+def reject_stream(spark, sf):
+    requests = R.chat_requests(R.stream(spark, sf, "conversations", R.TURN))
+    path = fresh_path(spark, "rejects")
+    stream_job(
+        requests,
+        lambda rows: rejected(validate_chat(rows)).select(
+            "request_id", F.concat_ws(",", "errors").alias("errors")
+        ),
+        path,
+        fresh_path(spark, "checkpoint"),
+    ).awaitTermination()
+    return spark.read.parquet(path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -364,10 +509,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         examples, text_modes, render, length_budget_report,
         shuffle, shuffle_copies, cap_pairs, cap_copies, split_rows, split_by_position,
         split_pairs, split_threshold, leakage_rows, leakage_pairs, split_report, split_totals,
-        preview_shuffled, example_build,
+        preview_raw, preview_shuffled, example_build,
+        split_files, raw_files, seed_files, corpus_files, example_files, report_files, smoke_files,
         language, language_confusion, intent, output_cleanup,
-        chat_validation, translate_validation, generate_stub, chat, translate, latency,
+        chat_validation, translate_validation, generate_stub, generate_errors,
+        rejected_requests, chat, translate, latency,
         matched_predictions, scored_items, benchmark_report, benchmark_verdict, scores_by_kind,
         smoke, dataset_profile, corpus_stream, request_stream,
+        translate_stream, reject_stream,
     )
 }

@@ -2,8 +2,7 @@
 
 ``F.trim`` alone removes only U+0020 and Java's ``\\s`` knows six characters; all functions here use
 the 29 characters of ``WHITESPACE``. They stay linear in the length of the text: trimming works on a
-character set rather than a regex anchored at the end, and bigrams are built from one split into
-characters rather than a ``substring`` per position.
+character set rather than a regex anchored at the end, and no position-by-position ``substring``.
 """
 
 from __future__ import annotations
@@ -48,10 +47,17 @@ def squash(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """Adjacent character pairs of the squashed text, repeats kept; none below two characters."""
-    chars = F.split(squash(c), "")
-    rest = F.size(chars) - 1
-    return F.zip_with(F.slice(chars, 1, rest), F.slice(chars, 2, rest), lambda a, b: F.concat(a, b))
+    """Distinct adjacent character pairs of the squashed text; none below two characters.
+
+    Two regex passes take the pairs that start at odd and at even positions. ``..`` steps by code
+    points, and each pass is linear, where a ``substring`` per position is quadratic.
+    """
+    text = squash(c)
+    pair = F.lit("(?s)..")
+    return F.array_union(
+        F.regexp_extract_all(text, pair, F.lit(0)),
+        F.regexp_extract_all(F.substring(text, 2, 2**31 - 1), pair, F.lit(0)),
+    )
 
 
 def marker_hits(c: Column, markers: Sequence[str]) -> Column:
@@ -92,6 +98,14 @@ def content_id(*cols: Column) -> Column:
     return F.md5(F.concat(*parts))
 
 
+def pair_key(source: Column, target: Column) -> Column:
+    """SHA-256 of the lower-cased pair in 32 bytes: what a pair is known by in a growing table."""
+    sides = []
+    for side in (F.lower(source), F.lower(target)):
+        sides += [F.length(side).cast("string"), F.lit(":"), side]
+    return F.unhex(F.sha2(F.concat(*sides), 256))
+
+
 def row_hash(seed: int | str, cols: Sequence[Column]) -> Column:
     """md5 hex of the seed and the columns: the source of every random choice.
 

@@ -79,19 +79,15 @@ def dedup_pairs(df: DataFrame, order: Sequence[str] = ("pri", "ord")) -> DataFra
 
 
 def novel_rows(
-    new: DataFrame, corpus: DataFrame, order: Sequence[str] = ("ord",), small_batch: bool = False
+    new: DataFrame, corpus: DataFrame, order: Sequence[str] = ("ord",)
 ) -> DataFrame:
     """Distinct new pairs that the corpus does not hold.
 
     Both sides are reduced to one row per key, and those two exchanges already have the partitioning
-    of the anti-join: no shuffle is added, and no key is hot. With ``small_batch`` the corpus keys
-    are first cut to the keys of the batch; when the batch fits Spark's broadcast threshold the
-    corpus is then only scanned, not shuffled.
+    of the anti-join: no shuffle is added, and no key is hot.
     """
     first = _first_by_key(new, order)
     known = corpus.select(*_keys()).distinct()
-    if small_batch:
-        known = known.join(first.select(*KEY_COLUMNS), list(KEY_COLUMNS), "left_semi")
     return first.join(known, list(KEY_COLUMNS), "left_anti").select(*new.columns)
 
 

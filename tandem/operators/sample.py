@@ -31,7 +31,8 @@ SPLITS = ("train", "valid", "test")
 
 def _hashed(df: DataFrame, seed: int | str, keys: Sequence[str], digits: int) -> DataFrame:
     hashed = df.withColumn("_hash", row_hash(seed, [F.col(k) for k in keys]))
-    return hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
+    leading = F.conv(F.substring("_hash", 1, digits), 16, 10)
+    return hashed.withColumn("_bucket", leading.cast("int"))
 
 
 def _bucket_offsets(hashed: DataFrame, size: Column) -> DataFrame:
@@ -174,6 +175,18 @@ def cap(
     return df.filter(_before(cuts.scalar()["cut0"], seed, keys))
 
 
+def first_shuffled(
+    df: DataFrame,
+    n: int,
+    seed: int | str = V.SEED,
+    keys: Sequence[str] = ("source", "target"),
+) -> DataFrame:
+    """The first few rows of the seeded shuffle, in its order: a top-n per task, merged. For an n
+    that one task can hold; ``cap`` takes any."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.orderBy(row_hash(seed, [F.col(k) for k in keys]), *keys, *rest).limit(n)
+
+
 def _cut_positions(total: Column, train: float, valid: float) -> tuple[Column, Column]:
     """Where valid and test begin. The products stay in double: a decimal product may floor
     differently."""

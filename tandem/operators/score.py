@@ -27,7 +27,7 @@ def score_items(df: DataFrame) -> DataFrame:
     pred, ref = F.col("prediction"), F.col("reference")
     sets = df.select(
         "*",
-        F.array_distinct(bigrams(ref)).alias("_ref_bigrams"),
+        bigrams(ref).alias("_ref_bigrams"),
         words(F.lower(ref)).alias("_ref_words"),
     )
     measured = sets.select(

@@ -11,6 +11,7 @@ from tandem.functions import fixed_values as V
 from tandem.operators.examples import expand, with_pair_id
 from tandem.operators.pairs import dedup_pairs, min_chars, union_sources
 from tandem.operators.sample import cap, shuffle_pos, split, split_at
+from tandem.sources.workspace import stage
 
 
 def build_corpus(
@@ -37,13 +38,14 @@ def prepare_examples(
     no row is shuffled. With ``split_pairs=False`` it is drawn on shuffled examples, which lets a
     pair appear in train and test alike; those rows also carry ``pos``.
 
-    ``corpus`` must be free of duplicate pairs, as ``build_corpus`` leaves it, and is read several
-    times: pass a corpus that was written, or staged.
+    ``corpus`` must be free of duplicate pairs, as ``build_corpus`` leaves it. A cap reads it three
+    times, so pass a corpus that was written. The kept pairs are staged with their ids: the passes
+    that look for the cuts then read the ids and not the texts.
     """
     pairs = corpus.select("source", "target", "source_lang", "target_lang")
     if max_pairs is not None:
         pairs = cap(pairs, max_pairs, seed, ("source", "target"), unique=True)
-    pairs = with_pair_id(min_chars(pairs))
+    pairs = stage(with_pair_id(min_chars(pairs)), "pairs")
     if split_pairs:
         pairs = split(pairs, seed=seed, by=("pair_id",), unique=True)
         return expand(pairs, seed, system=system).select(

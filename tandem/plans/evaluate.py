@@ -11,7 +11,8 @@ from tandem.functions import fixed_values as V
 from tandem.functions.detect import clean_output, last_reply
 from tandem.functions.templates import chat_prompt, request_text
 from tandem.operators.generate import Generator, generate
-from tandem.operators.score import score_items, smoke_report
+from tandem.operators.score import score_items, score_report, score_totals, smoke_report
+from tandem.sources.writers import write_details, write_summary
 
 BENCHMARK_MAX_TOKENS = 30
 BENCHMARK_TEMPERATURE = 0.0
@@ -24,8 +25,8 @@ def run_benchmark(
 ) -> DataFrame:
     """Scored items from benchmark items (item_id, source, reference).
 
-    A failed generation counts as an empty prediction. Write the result before reporting on it: the
-    summary and the details would otherwise generate twice.
+    A failed generation counts as an empty prediction. ``publish`` writes the result before it sums
+    it up; any other second use should read a written copy too, or every item is generated again.
     """
     request = request_text(V.FORWARD_REQUEST, F.col("source"))
     prompted = items.withColumns({
@@ -40,6 +41,15 @@ def run_benchmark(
     return score_items(predicted)
 
 
+def publish(scored: DataFrame, path: str) -> DataFrame:
+    """Write the scored items, sum up what was written, write the summary; returns the summary."""
+    write_details(scored, path)
+    details = scored.sparkSession.read.schema(scored.schema).parquet(f"{path}/details")
+    summary = score_report(score_totals(details))
+    write_summary(summary, path)
+    return summary
+
+
 def run_smoke(
     cases: DataFrame, make_generator: Callable[[], Generator], system: str = V.SYSTEM_PROMPT
 ) -> DataFrame:

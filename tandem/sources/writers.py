@@ -29,10 +29,14 @@ def write_examples(df: DataFrame, path: str) -> None:
     )
 
 
-def write_report(summary: DataFrame, details: DataFrame, path: str) -> None:
-    """One summary row as JSON next to the scored items as parquet."""
-    summary.coalesce(1).write.mode("overwrite").json(f"{path}/summary")
-    details.write.mode("overwrite").parquet(f"{path}/details")
+def write_details(scored: DataFrame, path: str) -> None:
+    """The scored items of a report, as a table beside its summary."""
+    scored.write.mode("overwrite").parquet(f"{path}/details")
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """The one summary row of a report."""
+    summary.write.mode("overwrite").json(f"{path}/summary")
 
 
 def json_line_bytes(*columns: str) -> Column:

@@ -5,46 +5,47 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tandem.operators.pairs import novel_rows
+from tandem.functions.text import pair_key
+from tandem.operators.pairs import dedup_pairs
 from tandem.sources.readers import read_optional
 
+_KNOWN = StructType([StructField("pair_key", BinaryType())])
 
-def append_novel(
-    batch: DataFrame, corpus_path: str, order: Sequence[str] = ("ord",), schema: StructType | None = None
-) -> None:
-    """Append the batch's new pairs to the corpus table.
 
-    The corpus is listed before the append starts, so the plan reads a fixed set of files while new
-    ones are added. Running the same batch again, even after half of it was committed, adds only
-    what is still missing. One writer per corpus.
+def append_novel(batch: DataFrame, corpus_path: str, order: Sequence[str] = ("ord",)) -> None:
+    """Append the batch's new pairs to the corpus table; a missing table is begun.
+
+    Each row carries the 32-byte ``pair_key``, and that column is all a batch reads of the corpus.
+    The known keys are cut to the keys of the batch first: if those are few enough to broadcast, the
+    corpus is scanned without a shuffle.
+
+    The corpus files are listed before the append starts, so the plan reads a fixed set of files
+    while new ones are added. Running a batch again, even after half of it was committed, adds just
+    what is missing. One writer per corpus.
     """
     spark = batch.sparkSession
-    schema = schema or batch.schema
-    corpus = read_optional(
-        spark, lambda: spark.read.schema(schema).parquet(corpus_path), schema
-    )
-    novel_rows(batch, corpus, order, small_batch=True).write.mode("append").parquet(corpus_path)
+    key = pair_key(F.col("source"), F.col("target"))
+    first = dedup_pairs(batch, order).withColumn("pair_key", key).persist()
+    corpus = read_optional(spark, lambda: spark.read.schema(_KNOWN).parquet(corpus_path), _KNOWN)
+    known = corpus.join(first.select("pair_key"), "pair_key", "left_semi").distinct()
+    first.join(known, "pair_key", "left_anti").write.mode("append").parquet(corpus_path)
+    first.unpersist()
 
 
 def stream_append(
-    stream: DataFrame,
-    corpus_path: str,
-    checkpoint: str,
-    order: Sequence[str] = ("ord",),
+    stream: DataFrame, corpus_path: str, checkpoint: str, order: Sequence[str] = ("ord",)
 ) -> StreamingQuery:
     """Deduplicate a stream of pairs into a corpus table; takes what is available and stops.
 
     The state is the corpus itself, so there is no window, watermark or late row. Within a batch the
     first row in ``order`` wins; across batches the earlier batch.
     """
-    schema = stream.schema
     return (
-        stream.writeStream.foreachBatch(
-            lambda batch, _: append_novel(batch, corpus_path, order, schema)
-        )
+        stream.writeStream.foreachBatch(lambda batch, _: append_novel(batch, corpus_path, order))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
