@@ -31,8 +31,9 @@ SPLITS = ("train", "valid", "test")
 
 def _hashed(df: DataFrame, seed: int | str, keys: Sequence[str], digits: int) -> DataFrame:
     hashed = df.withColumn("_hash", row_hash(seed, [F.col(k) for k in keys]))
-    leading = F.conv(F.substring("_hash", 1, digits), 16, 10)
-    return hashed.withColumn("_bucket", leading.cast("int"))
+    leading = F.conv(F.substring("_hash", 1, digits), 16, 10).cast("int")
+    # Never null; said so, or a join on it would add a filter that hashes every row again.
+    return hashed.withColumn("_bucket", F.coalesce(leading, F.lit(0)))
 
 
 def _bucket_offsets(hashed: DataFrame, size: Column) -> DataFrame:
@@ -150,9 +151,13 @@ def _cut_keys(
     )
 
 
-def _before(cut: Column, seed: int | str, keys: Sequence[str]) -> Column:
-    key = F.struct(row_hash(seed, [F.col(k) for k in keys]).alias("_hash"), *keys)
-    return cut.isNull() | (key < cut)
+def _cut_key(seed: int | str, keys: Sequence[str]) -> Column:
+    return F.struct(row_hash(seed, [F.col(k) for k in keys]).alias("_hash"), *keys)
+
+
+def _before(key: Column, cut: Column) -> Column:
+    """Whether a row comes before the cut; all do if the cut lies past the last row."""
+    return F.coalesce(key < cut, F.lit(True))
 
 
 def cap(
@@ -172,7 +177,7 @@ def cap(
         placed = shuffle_pos(df, seed, keys, False, digits)
         return placed.filter(F.col("pos") < n).select(*df.columns)
     cuts = _cut_keys(df, seed, keys, [F.lit(n).cast("bigint")], digits)
-    return df.filter(_before(cuts.scalar()["cut0"], seed, keys))
+    return df.filter(_before(_cut_key(seed, keys), cuts.scalar()["cut0"]))
 
 
 def first_shuffled(
@@ -217,10 +222,9 @@ def split(
     """
     groups = df if unique else df.select(*by).distinct()
     cuts = _cut_keys(groups, seed, by, _cut_positions(F.col("_total"), train, valid), digits)
-    at = cuts.scalar()
-    return df.withColumn(
-        "split", _name(_before(at["cut0"], seed, by), _before(at["cut1"], seed, by))
-    )
+    keyed = df.withColumns({"_key": _cut_key(seed, by), "_cuts": cuts.scalar()})
+    in_train, in_valid = (_before(F.col("_key"), F.col("_cuts")[c]) for c in ("cut0", "cut1"))
+    return keyed.select(*df.columns, _name(in_train, in_valid).alias("split"))
 
 
 def split_at(
