@@ -28,16 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) -> DataFrame:
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf_dir)
+    """A table as a stream of files. A table that is one file is picked out of its folder, a table
+    of many files is a folder itself; the braces make either a pattern."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
 
 
 def line_pairs(documents: DataFrame) -> DataFrame:
-    """Lines 1 and 2 as raw rows of a hub data set, an empty line as null."""
+    """Lines 1 and 2 as raw rows of a hub data set, an empty line as null.
+
+    The search stops at the second line feed; splitting would cut up whole documents.
+    """
+    two = F.substring_index("text", "\n", 2)
+    second = F.when(F.contains(two, F.lit("\n")), F.substring_index(two, "\n", -1))
     return documents.select(
         F.col("doc_id").alias("ord"),
-        F.nullif(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit("")).alias("fr"),
-        F.nullif(F.split_part("text", F.lit("\n"), F.lit(2)), F.lit("")).alias("transcription"),
+        F.nullif(F.substring_index("text", "\n", 1), F.lit("")).alias("fr"),
+        F.nullif(second, F.lit("")).alias("transcription"),
     )
 
 

@@ -91,10 +91,19 @@ def _turn_examples(spark: SparkSession, sf: str) -> DataFrame:
     return expand(with_pair_id(R.turn_pairs(spark, sf)), SEED)
 
 
+def _staged_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Turn pairs written once: the passes that count and cut then read just their keys."""
+    return stage(with_pair_id(R.turn_pairs(spark, sf)), "turns")
+
+
+def _staged_examples(spark: SparkSession, sf: str) -> DataFrame:
+    return expand(_staged_pairs(spark, sf), SEED)
+
+
 def _example_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Examples split one by one, so that pairs leak."""
     return split(
-        _turn_examples(spark, sf), seed=SEED, by=["conv_id", "turn", "kind"], unique=True
+        _staged_examples(spark, sf), seed=SEED, by=["conv_id", "turn", "kind"], unique=True
     )
 
 
@@ -176,7 +185,7 @@ def length_budget_report(spark, sf):
 
 
 def shuffle(spark, sf):
-    placed = shuffle_pos(R.turn_pairs(spark, sf), SEED, TURN_KEYS, unique=True)
+    placed = shuffle_pos(_staged_pairs(spark, sf), SEED, TURN_KEYS, unique=True)
     return placed.select(*TURN_KEYS, "pos")
 
 
@@ -187,7 +196,7 @@ def shuffle_copies(spark, sf):
 
 
 def cap_pairs(spark, sf):
-    return cap(R.turn_pairs(spark, sf), 100, SEED, TURN_KEYS, unique=True).select(
+    return cap(_staged_pairs(spark, sf), 100, SEED, TURN_KEYS, unique=True).select(
         *TURN_KEYS, "source"
     )
 
@@ -202,12 +211,12 @@ def split_rows(spark, sf):
 
 
 def split_by_position(spark, sf):
-    placed = shuffle_pos(R.turn_pairs(spark, sf), SEED, TURN_KEYS, unique=True)
+    placed = shuffle_pos(_staged_pairs(spark, sf), SEED, TURN_KEYS, unique=True)
     return split_at(placed).select(*TURN_KEYS, "pos", "split")
 
 
 def split_pairs(spark, sf):
-    rows = split(_turn_examples(spark, sf), seed=SEED, by=["pair_id"])
+    rows = split(_staged_examples(spark, sf), seed=SEED, by=["pair_id"])
     return rows.select(*TURN_KEYS, "kind", "split")
 
 
@@ -221,7 +230,7 @@ def leakage_rows(spark, sf):
 
 
 def leakage_pairs(spark, sf):
-    return leakage(split(_turn_examples(spark, sf), seed=SEED, by=["pair_id"]))
+    return leakage(split(_staged_examples(spark, sf), seed=SEED, by=["pair_id"]))
 
 
 def split_report(spark, sf):
@@ -463,42 +472,28 @@ def corpus_stream(spark, sf):
     return spark.read.schema(pairs.schema).parquet(path).select("ord", *PAIR_TEXTS)
 
 
+def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Run a streaming frame into a folder and read that back."""
+    path = fresh_path(spark, "replies")
+    stream_job(rows, path, fresh_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def request_stream(spark, sf):
     requests = R.chat_requests(R.stream(spark, sf, "conversations", R.TURN))
-    path = fresh_path(spark, "replies")
-    stream_job(
-        requests,
-        lambda rows: _reply_columns(chat_job(rows, R.stub_factory(), "stub")),
-        path,
-        fresh_path(spark, "checkpoint"),
-    ).awaitTermination()
-    return spark.read.parquet(path)
+    return _streamed(spark, _reply_columns(chat_job(requests, R.stub_factory(), "stub")))
 
 
 def translate_stream(spark, sf):
     requests = R.translate_requests(R.stream(spark, sf, "conversations", R.TURN))
-    path = fresh_path(spark, "replies")
-    stream_job(
-        requests,
-        lambda rows: translate_job(rows, R.stub_factory()).drop("latence_ms", "error"),
-        path,
-        fresh_path(spark, "checkpoint"),
-    ).awaitTermination()
-    return spark.read.parquet(path)
+    replies = translate_job(requests, R.stub_factory())
+    return _streamed(spark, replies.drop("latence_ms", "error"))
 
 
 def reject_stream(spark, sf):
     requests = R.chat_requests(R.stream(spark, sf, "conversations", R.TURN))
-    path = fresh_path(spark, "rejects")
-    stream_job(
-        requests,
-        lambda rows: rejected(validate_chat(rows)).select(
-            "request_id", F.concat_ws(",", "errors").alias("errors")
-        ),
-        path,
-        fresh_path(spark, "checkpoint"),
-    ).awaitTermination()
-    return spark.read.parquet(path)
+    bad = rejected(validate_chat(requests))
+    return _streamed(spark, bad.select("request_id", F.concat_ws(",", "errors").alias("errors")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -61,20 +61,12 @@ def completion(text: Column) -> Column:
     return F.concat(clean(text), F.lit(V.END_OF_TURN))
 
 
-def forward_example(source: Column, target: Column, system: str = V.SYSTEM_PROMPT) -> Column:
-    return F.struct(
-        F.lit("forward").alias("kind"),
-        chat_prompt(_fill(V.FORWARD_REQUEST, clean(source)), system).alias("prompt"),
-        completion(target).alias("completion"),
-    )
+def forward_prompt(source: Column, system: str = V.SYSTEM_PROMPT) -> Column:
+    return chat_prompt(_fill(V.FORWARD_REQUEST, clean(source)), system)
 
 
-def reverse_example(source: Column, target: Column, system: str = V.SYSTEM_PROMPT) -> Column:
-    return F.struct(
-        F.lit("reverse").alias("kind"),
-        chat_prompt(_fill(V.REVERSE_REQUEST, clean(target)), system).alias("prompt"),
-        completion(source).alias("completion"),
-    )
+def reverse_prompt(target: Column, system: str = V.SYSTEM_PROMPT) -> Column:
+    return chat_prompt(_fill(V.REVERSE_REQUEST, clean(target)), system)
 
 
 def phrasing_index(source: Column, target: Column, seed: int, n: int) -> Column:
@@ -82,21 +74,17 @@ def phrasing_index(source: Column, target: Column, seed: int, n: int) -> Column:
     return F.pmod(hash_number(row_hash(seed, [source, target])), F.lit(n)).cast("int")
 
 
-def question_example(
+def question_prompt(
     source: Column,
     target: Column,
     seed: int = V.SEED,
     phrasings: Sequence[str] = V.QUESTION_REQUESTS,
     system: str = V.SYSTEM_PROMPT,
 ) -> Column:
-    """A question in one of several phrasings; only the words around the phrase are chosen, so the
-    long prompt is built once per row."""
+    """A question about the source in one of several phrasings. Only the words around the phrase are
+    chosen, so the long prompt is written out once."""
     halves = [p.split("{text}") for p in phrasings]
     index = phrasing_index(source, target, seed, len(halves))
     before = F.get(F.array(*[F.lit(h[0]) for h in halves]), index)
     after = F.get(F.array(*[F.lit(h[1]) for h in halves]), index)
-    return F.struct(
-        F.lit("question").alias("kind"),
-        chat_prompt([before, clean(source), after], system).alias("prompt"),
-        completion(target).alias("completion"),
-    )
+    return chat_prompt([before, clean(source), after], system)

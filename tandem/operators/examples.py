@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as V
 from tandem.functions.templates import (
     chat_turn,
-    forward_example,
-    question_example,
-    reverse_example,
+    completion,
+    forward_prompt,
+    question_prompt,
+    reverse_prompt,
 )
 from tandem.functions.text import content_id, word_count
 
+KINDS = ("forward", "reverse", "question")
+
 
 def with_pair_id(df: DataFrame) -> DataFrame:
     return df.withColumn("pair_id", content_id(F.col("source"), F.col("target")))
@@ -29,17 +32,21 @@ def expand(
 ) -> DataFrame:
     """Three examples per pair (forward, reverse, question) from one scan; no shuffle.
 
-    All columns but the two texts and the languages are carried along.
+    The rows are tripled by kind first and the texts filled in after, so that a plan that needs only
+    ids and kinds builds no prompt. All columns but the texts and languages are carried along.
     """
-    source, target = F.col("source"), F.col("target")
-    texts = ("source", "target", "source_lang", "target_lang")
-    kept = [c for c in df.columns if c not in texts]
-    three = F.array(
-        forward_example(source, target, system),
-        reverse_example(source, target, system),
-        question_example(source, target, seed, phrasings, system),
+    source, target, kind = F.col("source"), F.col("target"), F.col("kind")
+    used = ("source", "target", "source_lang", "target_lang")
+    kept = [c for c in df.columns if c not in used]
+    tripled = df.select("*", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
+    forward, reverse, _ = KINDS
+    prompt = (
+        F.when(kind == forward, forward_prompt(source, system))
+        .when(kind == reverse, reverse_prompt(target, system))
+        .otherwise(question_prompt(source, target, seed, phrasings, system))
     )
-    return df.select(*kept, F.inline(three))
+    answer = completion(F.when(kind == reverse, source).otherwise(target))
+    return tripled.select(*kept, "kind", prompt.alias("prompt"), answer.alias("completion"))
 
 
 def with_text(df: DataFrame, mode: str = "full") -> DataFrame:

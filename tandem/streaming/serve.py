@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 
-def stream_job(
-    requests: DataFrame, job: Callable[[DataFrame], DataFrame], path: str, checkpoint: str
-) -> StreamingQuery:
-    """Run a narrow job (``chat_job``, ``translate_job`` or a listing of rejects) over a stream of
-    requests into a parquet folder; the file sink writes each reply once."""
+def stream_job(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the replies of ``chat_job`` or ``translate_job`` over a stream of requests, or its
+    rejects, to a parquet folder; takes what is available and stops.
+
+    The jobs are narrow, so they run on a streaming frame as they are, without state. The file sink
+    writes each reply once.
+    """
     return (
-        job(requests)
-        .writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)

@@ -63,7 +63,7 @@ def test_translate_stream_equals_batch(spark, tmp_path):
         return translate_job(requests, make).drop("latence_ms")
 
     stream = spark.readStream.schema(TRANSLATE_REQUEST).parquet(str(tmp_path / "in"))
-    stream_job(job(stream), lambda x: x, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    stream_job(job(stream), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, job(df).collect()))
     assert streamed.filter(F.col("traduction").isNull()).count() == 0

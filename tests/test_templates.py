@@ -53,7 +53,7 @@ def test_question_uses_its_phrasing(spark):
     picked = rows.select(
         "source",
         P.phrasing_index(F.col("source"), F.col("target"), 42, 4).alias("i"),
-        P.question_example(F.col("source"), F.col("target"), 42, system="S")["prompt"].alias("p"),
+        P.question_prompt(F.col("source"), F.col("target"), 42, system="S").alias("p"),
     )
     for r in picked.collect():
         assert r.p == prompt(V.QUESTION_REQUESTS[r.i].replace("{text}", r.source))
