@@ -16,10 +16,14 @@ from tandem.sources import schemas as S
 def read_table(
     spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet", **options: object
 ) -> DataFrame:
-    """Read with a fixed schema; csv files carry a header and may span lines inside quotes."""
+    """Read with a fixed schema. A malformed record stops the read; it does not become a null row
+    that a later filter would drop unseen. A csv file needs a header with the schema's names, and as
+    its quoted values may span lines, each file is one task: large tables should not be csv."""
     reader = spark.read.schema(schema)
+    if fmt in ("json", "csv"):
+        reader = reader.option("mode", "FAILFAST")
     if fmt == "csv":
-        reader = reader.options(header=True, multiLine=True, escape='"')
+        reader = reader.options(header=True, enforceSchema=False, multiLine=True, escape='"')
     return reader.options(**options).format(fmt).load(path)
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from tandem.functions.text import pair_key
 from tandem.operators.pairs import dedup_pairs
 from tandem.sources.readers import read_optional
+from tandem.streaming.trigger import with_trigger
 
 _KNOWN = StructType([StructField("pair_key", BinaryType())])
 
@@ -37,16 +38,19 @@ def append_novel(batch: DataFrame, corpus_path: str, order: Sequence[str] = ("or
 
 
 def stream_append(
-    stream: DataFrame, corpus_path: str, checkpoint: str, order: Sequence[str] = ("ord",)
+    stream: DataFrame,
+    corpus_path: str,
+    checkpoint: str,
+    order: Sequence[str] = ("ord",),
+    every: str | None = None,
 ) -> StreamingQuery:
-    """Deduplicate a stream of pairs into a corpus table; takes what is available and stops.
+    """Deduplicate a stream of pairs into a corpus table: what is available now, or, with ``every``
+    such as "1 minute", for as long as the query runs.
 
     The state is the corpus itself, so there is no window, watermark or late row. Within a batch the
     first row in ``order`` wins; across batches the earlier batch.
     """
-    return (
-        stream.writeStream.foreachBatch(lambda batch, _: append_novel(batch, corpus_path, order))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(
+        lambda batch, _: append_novel(batch, corpus_path, order)
+    ).option("checkpointLocation", checkpoint)
+    return with_trigger(writer, every).start()

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from tandem.streaming.trigger import with_trigger
 
-def stream_job(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+
+def stream_job(
+    rows: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
     """Write the replies of ``chat_job`` or ``translate_job`` over a stream of requests, or its
-    rejects, to a parquet folder; takes what is available and stops.
+    rejects, to a parquet folder: what is available now, or, with ``every``, at that interval.
 
     The jobs are narrow, so they run on a streaming frame as they are, without state. The file sink
     writes each reply once.
     """
-    return (
+    writer = (
         rows.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
     )
+    return with_trigger(writer, every).start()

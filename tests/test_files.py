@@ -93,6 +93,15 @@ def test_optional_tolerates_only_a_missing_path(spark, tmp_path):
         R.read_optional(spark, lambda: spark.range(1).select("nothing"), S.PAIR)
 
 
+def test_malformed_records_surface(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"ord": 1, "fr": "a", "dioula": "b"}\n{"ord": 2, "fr"\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        R.read_seed(spark, str(tmp_path / "bad.json")).collect()
+    (tmp_path / "bad.csv").write_text("ord,dioula,fr\n1,b,a\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        R.read_seed(spark, str(tmp_path / "bad.csv"), "csv").collect()
+
+
 def test_preview_is_ordered(spark):
     df = spark.createDataFrame([(i,) for i in (5, 1, 4, 2, 3)], "pos int")
     assert [r.pos for r in K.preview(df, ["pos"], 3).collect()] == [1, 2, 3]
