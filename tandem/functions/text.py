@@ -46,13 +46,12 @@ def squash(c: Column) -> Column:
     return F.regexp_replace(F.translate(strip(F.lower(c)), WHITESPACE, _SPACES), " {2,}", " ")
 
 
-def bigrams(c: Column) -> Column:
-    """Distinct adjacent character pairs of the squashed text; none below two characters.
+def char_pairs(text: Column) -> Column:
+    """Distinct adjacent character pairs; none below two characters.
 
     Two regex passes take the pairs that start at odd and at even positions. ``..`` steps by code
     points, and each pass is linear, where a ``substring`` per position is quadratic.
     """
-    text = squash(c)
     pair = F.lit("(?s)..")
     return F.array_union(
         F.regexp_extract_all(text, pair, F.lit(0)),
@@ -60,6 +59,11 @@ def bigrams(c: Column) -> Column:
     )
 
 
+def bigrams(c: Column) -> Column:
+    """Distinct character pairs of the squashed text."""
+    return char_pairs(squash(c))
+
+
 def marker_hits(c: Column, markers: Sequence[str]) -> Column:
     """How many of the markers occur anywhere in the lower-cased text (presence, not occurrences)."""
     lowered = F.lower(c)

@@ -16,29 +16,42 @@ from tandem.functions.scoring import (
     smoke_verdict,
     status,
 )
-from tandem.functions.text import bigrams, words, words_all
+from tandem.functions.text import char_pairs, squash, words, words_all
 
 
 def score_items(df: DataFrame) -> DataFrame:
     """Add char_similarity, exact, partial and status to rows of (prediction, reference).
 
-    The reference's bigram and word sets are columns of a stage of their own, as each is used twice.
+    Steps that build a set run only where it decides something: no character pairs for texts that
+    are equal once squashed, no words where the characters already settle the matter. Sets that are
+    used twice are columns of a step of their own.
     """
-    pred, ref = F.col("prediction"), F.col("reference")
-    sets = df.select(
+    pred, ref = F.col("_pred"), F.col("_ref")
+    similarity = F.col("char_similarity")
+    folded = df.select(
         "*",
-        bigrams(ref).alias("_ref_bigrams"),
-        words(F.lower(ref)).alias("_ref_words"),
+        squash(F.col("prediction")).alias("_pred"),
+        squash(F.col("reference")).alias("_ref"),
+        exact_match(F.col("prediction"), F.col("reference")).alias("exact"),
     )
-    measured = sets.select(
+    paired = folded.withColumn("_ref_pairs", F.when(pred != ref, char_pairs(ref)))
+    alike = F.when(F.length(ref) >= 2, 1.0).otherwise(0.0)
+    measured = paired.withColumn(
+        "char_similarity",
+        F.when(pred == ref, alike).otherwise(set_recall(char_pairs(pred), F.col("_ref_pairs"))),
+    )
+    open_case = ~F.col("exact") & (similarity < V.CHAR_RECALL)
+    worded = measured.withColumn("_ref_words", F.when(open_case, words(ref)))
+    recalled = set_recall(words_all(pred), F.col("_ref_words")) >= V.WORD_RECALL
+    close = F.when(F.col("_ref_words").isNotNull(), recalled).otherwise(True)
+    judged = worded.withColumn("partial", ~F.col("exact") & close)
+    return judged.select(
         *df.columns,
-        set_recall(bigrams(pred), F.col("_ref_bigrams")).alias("char_similarity"),
-        set_recall(words_all(F.lower(pred)), F.col("_ref_words")).alias("_word_recall"),
-        exact_match(pred, ref).alias("exact"),
+        "char_similarity",
+        "exact",
+        "partial",
+        status(F.col("exact"), F.col("partial")).alias("status"),
     )
-    close = (F.col("_word_recall") >= V.WORD_RECALL) | (F.col("char_similarity") >= V.CHAR_RECALL)
-    judged = measured.withColumn("partial", ~F.col("exact") & close).drop("_word_recall")
-    return judged.withColumn("status", status(F.col("exact"), F.col("partial")))
 
 
 def score_totals(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
