@@ -102,10 +102,11 @@ def assign(
     epochs: float = EPOCHS,
     most: int = MOST,
     schedule=SCHEDULE,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """(doc, size, source_size, target, taken, places), a row for each row of ``docs``.
 
-    ``doc`` is the whole row. A source's rows are put in order of a hash of seed, doc_id and text and
+    ``doc`` holds the columns to keep, all by default; what is not kept is not shuffled. A source's rows are put in order of a hash of seed, doc_id and text and
     read as often as its target needs, the last reading up to the target's last word: ``taken`` adds
     up to the rounded target, and a row is taken at most ``most`` times. ``places`` has the place in
     training of each reading, none for rows that are not read.
@@ -115,7 +116,7 @@ def assign(
     columns, whatever their names, stay inside ``doc``.
     """
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"),
+        F.struct(*(keep or docs.columns)).alias("doc"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("draw"),

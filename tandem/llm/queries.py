@@ -16,7 +16,7 @@ from tandem.sources.workspace import fresh_path
 
 def op1_curriculum(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that are read, in training order, then those that are not."""
-    found = curriculum.assign(table(spark, sf, "documents")).select(
+    found = curriculum.assign(table(spark, sf, "documents"), keep=["doc_id"]).select(
         F.col("doc.doc_id").alias("doc_id"), "size", "source_size", "target", "taken",
         F.get("places", F.lit(0)).alias("place"),
     )
