@@ -9,7 +9,7 @@ chunk can be read alone.
 from __future__ import annotations
 
 import json
-import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,7 +148,8 @@ class ChunkedEncoder:
     space are encoded whole. Ids are those of the library on the whole text either way.
     """
 
-    ODD = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f\x85]")
+    #: All white space, by any definition, but blank and line feed.
+    ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
 
     def __init__(self, tokenizer_json: str):
         self.vocabulary, self.tokenizer = tokenizer_json, None
@@ -162,7 +163,12 @@ class ChunkedEncoder:
             self.tokenizer = Tokenizer.from_str(self.vocabulary)
             self.tokenizer.encode_special_tokens = True
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, IDS).tobytes() for x in found]
+        return [struct.pack(f"<{len(x)}I", *x.ids) for x in found]
+
+    def _odd(self, text: str) -> bool:
+        return any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or any(
+            c in text for c in self.ODD
+        )
 
     def _learn(self, known: dict[str, bytes], new: list[str], prefix: str) -> None:
         known.update(zip(new, self._encode([prefix + x for x in new])))
@@ -172,10 +178,9 @@ class ChunkedEncoder:
         if len(bare) + len(after) > CACHED:
             bare.clear()
             after.clear()
-        cut = [None if self.ODD.search(x) else x.split(" ") for x in texts]
+        cut = [None if self._odd(x) else x.split(" ") for x in texts]
         odd = iter(self._encode([x for x, parts in zip(texts, cut) if parts is None]))
-        found, gaps = [], []
-        need_bare, need_after = {"\n"}, set()
+        found, gaps, first, later = [], [], {"\n"}, set()
         for parts in cut:
             if parts is None:
                 found.append([next(odd)])
@@ -186,19 +191,28 @@ class ChunkedEncoder:
             if None in ids:
                 missing = [k for k, x in enumerate(ids) if x is None]
                 gaps.append((parts, ids, missing))
-                for k in missing:
-                    first, *rest = parts[k].split("\n")
-                    (need_after if k else need_bare).add(first)
-                    need_bare.update(rest)
+                if missing[0] == 0:
+                    first.add(parts[0])
+                later.update([parts[k] for k in missing if k])
+        # Words round a line feed are put together from their halves and not kept.
+        halves = {x: x.split("\n") for x in (*first, *later) if "\n" in x and x != "\n"}
+        need_bare = {x for x in first if x not in halves}.union(*(h[1:] for h in halves.values()))
+        need_bare.update(halves[x][0] for x in first if x in halves)
+        need_after = {x for x in later if x not in halves}
+        need_after.update(halves[x][0] for x in later if x in halves)
         need_bare, need_after = need_bare.difference(bare), need_after.difference(after)
         self._learn(bare, list(need_bare), "")
         self._learn(after, list(need_after), " ")
         feed = bare["\n"]
         for parts, ids, missing in gaps:
             for k in missing:
-                first, *rest = parts[k].split("\n")
-                begin = after[first] if k else bare[first]
-                ids[k] = feed.join([begin, *(bare[x] for x in rest)]) if rest else begin
+                word = parts[k]
+                known = after if k else bare
+                if word in halves:
+                    begin, *rest = halves[word]
+                    ids[k] = feed.join([known[begin], *(bare[x] for x in rest)])
+                else:
+                    ids[k] = known[word]
         for known, new in ((after, need_after), (bare, need_bare)):
             for x in new:
                 if len(x) > CACHED_CHARS:
