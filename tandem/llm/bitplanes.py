@@ -56,7 +56,8 @@ class PlaneWriter:
         self.out, self.planes, self.chunk = out, planes, chunk
         self.zip = zstandard.ZstdCompressor(level=level)
         self.at, self.n_ids, self.index = 0, 0, []
-        self.left = np.empty(0, IDS)
+        self.left: list[np.ndarray] = []
+        self.n_left = 0
         self.doc_ids: list[int | None] = []
         self.lengths: list[int] = []
         self._put(MAGIC)
@@ -75,15 +76,18 @@ class PlaneWriter:
         self.doc_ids.append(doc_id)
         self.lengths.append(len(ids))
         self.n_ids += len(ids)
-        ids = np.concatenate([self.left, ids])
-        full = len(ids) - len(ids) % self.chunk
-        for k in range(0, full, self.chunk):
-            self._put_chunk(ids[k : k + self.chunk])
-        self.left = ids[full:]
+        self.left.append(ids)
+        self.n_left += len(ids)
+        if self.n_left >= self.chunk:
+            ids = np.concatenate(self.left)
+            full = len(ids) - len(ids) % self.chunk
+            for k in range(0, full, self.chunk):
+                self._put_chunk(ids[k : k + self.chunk])
+            self.left, self.n_left = [ids[full:]], len(ids) - full
 
     def close(self) -> None:
-        if len(self.left):
-            self._put_chunk(self.left)
+        if self.n_left:
+            self._put_chunk(np.concatenate(self.left))
         documents = self.zip.compress(json.dumps([self.doc_ids, self.lengths]).encode())
         start = self.at
         self._put(documents)
@@ -153,6 +157,7 @@ class ChunkedEncoder:
 
     def __init__(self, tokenizer_json: str):
         self.vocabulary, self.tokenizer = tokenizer_json, None
+        self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}  # as a text begins, or a line
         self.after: dict[str, bytes] = {}  # with a blank before
 
@@ -170,14 +175,12 @@ class ChunkedEncoder:
             c in text for c in self.ODD
         )
 
-    def _learn(self, known: dict[str, bytes], new: list[str], prefix: str) -> None:
-        known.update(zip(new, self._encode([prefix + x for x in new])))
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         bare, after = self.bare, self.after
-        if len(bare) + len(after) > CACHED:
-            bare.clear()
-            after.clear()
+        if len(bare) + len(after) > CACHED // 2:
+            # Words that are met again come back from the older half; the others go.
+            self.older = after
+            bare, after = self.bare, self.after = {}, {}
         cut = [None if self._odd(x) else x.split(" ") for x in texts]
         odd = iter(self._encode([x for x, parts in zip(texts, cut) if parts is None]))
         found, gaps, first, later = [], [], {"\n"}, set()
@@ -201,8 +204,11 @@ class ChunkedEncoder:
         need_after = {x for x in later if x not in halves}
         need_after.update(halves[x][0] for x in later if x in halves)
         need_bare, need_after = need_bare.difference(bare), need_after.difference(after)
-        self._learn(bare, list(need_bare), "")
-        self._learn(after, list(need_after), " ")
+        bare.update(zip(need_bare, self._encode(list(need_bare))))
+        for x in need_after & self.older.keys():
+            after[x] = self.older[x]
+        new = list(need_after.difference(after))
+        after.update(zip(new, self._encode([" " + x for x in new])))
         feed = bare["\n"]
         for parts, ids, missing in gaps:
             for k in missing:

@@ -29,7 +29,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Numbers that stand for no piece: a character without one, and the start of a word.
 NO_PIECE, START = -1, -2
 #: Encoded words that a worker keeps, the longest of them, and the cells of a batch of the search.
-CACHED, CACHED_CHARS, CELLS = 500_000, 48, 1 << 18
+CACHED, CACHED_CHARS, CELLS = 600_000, 48, 1 << 18
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -287,10 +287,12 @@ class Pieces:
                 stack[-2:] = [stack[-2] + stack[-1]]
         return [self.runs[k] for k in stack]
 
-    def encode(self, texts: list[str], known: dict[str, bytes]) -> list[bytes]:
-        """Ids of each text as 32-bit little-endian integers; ``known`` keeps those of words."""
-        if len(known) > CACHED:
-            known.clear()
+    def encode(self, texts: list[str], kept: dict[str, dict[str, bytes]]) -> list[bytes]:
+        """Ids of each text as 32-bit little-endian integers; ``kept`` keeps those of words."""
+        if len(kept.setdefault("new", {})) > CACHED // 2:
+            # Words that are met again come back from the older half; the others go.
+            kept["old"], kept["new"] = kept["new"], {}
+        known, older = kept["new"], kept.get("old", {})
         cut = [x.replace(SPACE, " ").split(" ") if x else [] for x in texts]
         found, gaps = [], []
         for parts in cut:
@@ -299,6 +301,7 @@ class Pieces:
             if None in ids:
                 gaps.append((parts, ids, [k for k, x in enumerate(ids) if x is None]))
         new = {parts[k] for parts, _, missing in gaps for k in missing if parts[k]}
+        known.update((x, older[x]) for x in new & older.keys())
         new = new.difference(known)
         ids_of = self.word_ids([SPACE + x for x in new])
         known.update((x, np.array(ids_of[SPACE + x], "<u4").tobytes()) for x in new)

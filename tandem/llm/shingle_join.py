@@ -360,11 +360,15 @@ def links(docs: DataFrame, of: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 some = batch.slice(k, 512)
-                made = [
-                    sketch(np.array(x, np.int64).view(np.uint64), b)
-                    for b, x in zip(some.column(1).to_pylist(), some.column(4).to_pylist())
-                ]
-                sizes = [len(x) for x in some.column(4)]
+                ends = some.column(4).offsets.to_numpy()
+                items = some.column(4).values.to_numpy().view(np.uint64)
+                sizes = np.diff(ends)
+                known: dict[tuple[int, int], bytes] = {}
+                made = []
+                for i, of in enumerate(zip(some.column(2).to_pylist(), some.column(1).to_pylist())):
+                    if of not in known:
+                        known[of] = sketch(items[ends[i] : ends[i + 1]], of[1])
+                    made.append(known[of])
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column(0), some.column(2), some.column(3),
