@@ -175,11 +175,11 @@ def top_k(
             most = min(k + 1, n_rows)
             picked = np.zeros(totals.shape, bool)
             for p in parts:
-                top = np.argpartition(-p, most - 1, axis=1)[:, :most]
+                top = np.argpartition(p, n_rows - most, axis=1)[:, n_rows - most :]
                 np.put_along_axis(picked, top, True, axis=1)
             # Of those, the best by exact score.
             masked = np.where(picked, totals, np.iinfo(np.int64).min)
-            top = np.argpartition(-masked, most - 1, axis=1)[:, :most]
+            top = np.argpartition(masked, n_rows - most, axis=1)[:, n_rows - most :]
             q, c = np.nonzero(np.take_along_axis(picked, top, axis=1))
             return q, top[q, c]
 
