@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from tandem.operators.pairs import to_pairs
 
+#: Numbers that ``ord`` has for the pairs of a document.
+PAIRS_OF_DOCUMENT = 1 << 24
+
 DOCUMENT = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("text", T.StringType()),
@@ -34,21 +37,28 @@ def stream(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType) ->
 
 
 def line_pairs(documents: DataFrame) -> DataFrame:
-    """Lines 1 and 2 as raw rows of a hub data set, an empty line as null.
+    """All lines of each document, two by two, as raw rows of a hub data set, an empty line as null.
 
-    The search stops at the second line feed; splitting would cut up whole documents.
+    ``ord`` is in order of doc_id and then of lines; a document has fewer than 2**24 pairs.
     """
-    two = F.substring_index("text", "\n", 2)
-    second = F.when(F.contains(two, F.lit("\n")), F.substring_index(two, "\n", -1))
-    return documents.select(
-        F.col("doc_id").alias("ord"),
-        F.nullif(F.substring_index("text", "\n", 1), F.lit("")).alias("fr"),
-        F.nullif(second, F.lit("")).alias("transcription"),
+    lines = F.split("text", "\n")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("lines") - 1) / 2).cast("int")),
+        lambda k: F.struct(
+            F.nullif(F.get("lines", 2 * k), F.lit("")).alias("fr"),
+            F.nullif(F.get("lines", 2 * k + 1), F.lit("")).alias("transcription"),
+        ),
+    )
+    each = documents.select("doc_id", lines.alias("lines")).select(
+        "doc_id", F.posexplode(pairs).alias("at", "pair")
+    )
+    return each.select(
+        (F.col("doc_id") * PAIRS_OF_DOCUMENT + F.col("at")).alias("ord"), "pair.fr", "pair.transcription"
     )
 
 
 def document_pairs(documents: DataFrame) -> DataFrame:
-    """Lines 1 and 2 of each document as a pair, in order of doc_id."""
+    """The lines of each document in pairs, in order of doc_id and line."""
     return to_pairs(line_pairs(documents), "fr", "transcription", keep=["ord"])
 
 

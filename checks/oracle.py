@@ -41,14 +41,16 @@ def _rounded(x: str, digits: int) -> str:
     return f"format('{{:.{digits}f}}', {x})::DOUBLE"
 
 
-def _line(n: int) -> str:
-    return "coalesce(" + _strip(f"split_part(text, chr(10), {n})") + ", '')"
+def _line(at: str) -> str:
+    return _strip(f"coalesce(lines[{at}], '')")
 
 
 def _doc_pairs(where: str) -> str:
+    cut = f"SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE {where}"
+    each = f"SELECT doc_id, lines, unnest(range((len(lines) + 1) // 2)) AS k FROM ({cut})"
     return (
-        f"SELECT * FROM (SELECT doc_id AS ord, {_line(1)} AS source, {_line(2)} AS target"
-        f" FROM documents WHERE {where}) WHERE source <> '' AND target <> ''"
+        f"SELECT * FROM (SELECT doc_id * 16777216 + k AS ord, {_line('2 * k + 1')} AS source,"
+        f" {_line('2 * k + 2')} AS target FROM ({each})) WHERE source <> '' AND target <> ''"
     )
 
 
@@ -372,11 +374,13 @@ WITH {_EXAMPLES}
 SELECT conv_id, turn, kind, 'full' AS mode, prompt || completion AS text FROM examples
 UNION ALL SELECT conv_id, turn, kind, 'prompt', prompt FROM examples""",
     "render": """
-SELECT conv_id, turn // 4 AS part,
-       CASE turn // 4 WHEN 0 THEN '<|begin_of_text|>' ELSE '' END
-       || string_agg('<|start_header_id|>' || role || '<|end_header_id|>' || chr(10) || text
-                     || '<|eot_id|>', '' ORDER BY turn) AS rendered
-FROM conversations GROUP BY conv_id, turn // 4""",
+SELECT conv_id,
+       '<|begin_of_text|>'
+       || string_agg('<|start_header_id|>' || coalesce(role, '') || '<|end_header_id|>' || chr(10)
+                     || coalesce(text, '') || '<|eot_id|>', '' ORDER BY turn) AS rendered
+FROM (SELECT conv_id, turn, role, CASE WHEN turn = 3 THEN NULL ELSE text END AS text
+      FROM conversations WHERE NOT (conv_id % 7 = 2 AND turn = 0))
+GROUP BY conv_id""",
     "length_budget_report": f"""
 WITH {_EXAMPLES}, counted AS (
   SELECT kind, len({_words('prompt || completion')})::INT AS n FROM examples)
@@ -419,7 +423,7 @@ WITH {_TURN_PAIRS}, {_placed('pairs', 'conv_id, turn')}
 SELECT source, target FROM placed ORDER BY pos LIMIT 5""",
     "preview_raw": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 5",
     "split_files": f"""
-SELECT CASE WHEN ord IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'other' END AS split,
+SELECT CASE WHEN ord // 16777216 IN (SELECT doc_id FROM labels) THEN 'labelled' ELSE 'other' END AS split,
        ord, source, target, 'fr' AS source_lang, 'dioula' AS target_lang FROM ({_ALL})""",
     "raw_files": "SELECT * FROM conversations",
     "seed_files": f"""
@@ -433,7 +437,7 @@ SELECT count(*) AS passed, count(*) AS total, 'ready' AS verdict FROM conversati
     "example_build": f"""
 WITH {_CORPUS}, {_placed('corpus', 'source, target', 'shuffled')},
 kept AS (SELECT source, target FROM shuffled
-         WHERE pos < 700 AND length(source) >= 2 AND length(target) >= 2),
+         WHERE length(source) >= 2 AND length(target) >= 2),
 examples AS ({_expanded('kept', '')}),
 ids AS (SELECT DISTINCT pair_id FROM examples), {_placed('ids', 'pair_id')},
 splits AS (SELECT pair_id, {_SPLIT} FROM placed)

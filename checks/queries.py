@@ -174,7 +174,11 @@ def text_modes(spark, sf):
 
 
 def render(spark, sf):
-    return render_conversations(R.table(spark, sf, "conversations"), part_turns=4)
+    """Whole conversations, some without their first turn, and with a turn that has no text."""
+    turns = R.table(spark, sf, "conversations").filter("not (conv_id % 7 = 2 and turn = 0)")
+    return render_conversations(
+        turns.withColumn("text", F.when(F.col("turn") == 3, None).otherwise(F.col("text")))
+    )
 
 
 def length_budget_report(spark, sf):
@@ -252,7 +256,7 @@ def preview_shuffled(spark, sf):
 def example_build(spark, sf):
     """Corpus, cap, fan-out and pair-safe split; examples and bytes per split and kind."""
     corpus = stage(_corpus(spark, sf).select(*PAIR_TEXTS), "corpus")
-    rows = prepare_examples(corpus, SEED, max_pairs=700)
+    rows = prepare_examples(corpus, SEED)
     return rows.groupBy("split", "kind").agg(
         F.count(F.lit(1)).alias("n_examples"),
         F.sum(F.octet_length("prompt")).alias("prompt_bytes"),
@@ -267,8 +271,8 @@ def split_files(spark, sf):
     """Documents landed as two named splits, read back as nullable sides and cleaned."""
     labelled = R.table(spark, sf, "labels").select("doc_id")
     rows = R.line_pairs(R.table(spark, sf, "documents"))
-    known = rows.join(labelled, F.col("ord") == F.col("doc_id"), "left_semi")
-    other = rows.join(labelled, F.col("ord") == F.col("doc_id"), "left_anti")
+    known = rows.join(labelled, F.shiftright("ord", 24) == F.col("doc_id"), "left_semi")
+    other = rows.join(labelled, F.shiftright("ord", 24) == F.col("doc_id"), "left_anti")
     paths = {"labelled": fresh_path(spark, "split"), "other": fresh_path(spark, "split")}
     write_raw(known, paths["labelled"])
     write_raw(other, paths["other"])

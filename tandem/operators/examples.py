@@ -55,25 +55,18 @@ def with_text(df: DataFrame, mode: str = "full") -> DataFrame:
     return df.withColumn("text", text)
 
 
-def render_conversations(df: DataFrame, part_turns: int = 1024) -> DataFrame:
-    """Chat markup of whole conversations from (conv_id, turn, role, text).
+def render_conversations(df: DataFrame) -> DataFrame:
+    """Chat markup of whole conversations from (conv_id, turn, role, text), a row each.
 
-    Every ``part_turns`` turns make one part, so that a conversation of any length is rendered in
-    full by many tasks: its parts in order, joined, are its text. Turns count from 0 or 1, and
-    ordinary conversations have just part 0.
+    A null role or text is empty, so no turn is lost; the begin mark stands before the first turn,
+    whatever its number. A conversation's text is one value, which one task must hold.
     """
-    turns = df.select(
-        "conv_id",
-        F.floor(F.col("turn") / part_turns).alias("part"),
-        "turn",
-        chat_turn(F.col("role"), F.col("text")).alias("rendered"),
-    )
-    grouped = turns.groupBy("conv_id", "part").agg(
-        F.array_sort(F.collect_list(F.struct("turn", "rendered"))).alias("turns")
+    turn = chat_turn(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    grouped = df.groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", turn.alias("rendered")))).alias("turns")
     )
     body = F.array_join(F.col("turns")["rendered"], "")
-    start = F.when(F.col("part") == 0, V.BEGIN_OF_TEXT).otherwise("")
-    return grouped.select("conv_id", "part", F.concat(start, body).alias("rendered"))
+    return grouped.select("conv_id", F.concat(F.lit(V.BEGIN_OF_TEXT), body).alias("rendered"))
 
 
 def length_budget(

@@ -123,7 +123,12 @@ def coverage_rate(covered: DataFrame) -> DataFrame:
 def pair_predictions(
     predictions: DataFrame, references: DataFrame, on: str | Sequence[str] = "item_id"
 ) -> DataFrame:
-    """References with their prediction; a missing prediction is the empty string."""
+    """References with their prediction; a missing prediction is the empty string.
+
+    Of several predictions for one item the least in code point order counts, so that there are as
+    many rows as references.
+    """
     keys = [on] if isinstance(on, str) else list(on)
-    joined = references.join(predictions.select(*keys, "prediction"), keys, "left")
+    one = predictions.groupBy(*keys).agg(F.min("prediction").alias("prediction"))
+    joined = references.join(one, keys, "left")
     return joined.withColumn("prediction", F.coalesce("prediction", F.lit("")))

@@ -162,7 +162,7 @@ def _before(key: Column, cut: Column) -> Column:
 
 def cap(
     df: DataFrame,
-    n: int = V.MAX_PAIRS,
+    n: int,
     seed: int | str = V.SEED,
     keys: Sequence[str] = ("source", "target"),
     unique: bool = False,
@@ -251,13 +251,11 @@ def split_hash(
 def leakage(df: DataFrame, by: str = "pair_id") -> DataFrame:
     """Groups, groups whose rows lie in more than one split, and their share.
 
-    Each group folds into a bit mask of its splits: fixed-width state, merged before the shuffle.
+    Splits may have any names. A group leaks if its least split name is not its greatest: two names
+    a group, merged before the shuffle.
     """
-    bit = F.lit(0)
-    for i, name in enumerate(SPLITS):
-        bit = F.when(F.col("split") == name, F.lit(1 << i)).otherwise(bit)
-    masks = df.groupBy(by).agg(F.bit_or(bit).alias("_mask"))
+    masks = df.groupBy(by).agg(F.min("split").alias("_least"), F.max("split").alias("_greatest"))
     return masks.agg(
         F.count(F.lit(1)).alias("n_groups"),
-        F.count_if(F.bit_count("_mask") > 1).alias("n_leaked"),
+        F.count_if(F.col("_least") != F.col("_greatest")).alias("n_leaked"),
     ).withColumn("leak_rate", F.try_divide("n_leaked", "n_groups"))

@@ -28,7 +28,7 @@ def build_corpus(
 def prepare_examples(
     corpus: DataFrame,
     seed: int = V.SEED,
-    max_pairs: int | None = V.MAX_PAIRS,
+    max_pairs: int | None = None,
     system: str = V.SYSTEM_PROMPT,
     split_pairs: bool = True,
 ) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandem.functions.text import pair_key
+
 
 def write_raw(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Land a raw data set."""
@@ -12,10 +14,11 @@ def write_raw(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_pairs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Write the clean corpus."""
-    df.select("source", "target", "source_lang", "target_lang").write.mode("overwrite").format(
-        fmt
-    ).save(path)
+    """Write the clean corpus; as parquet with the ``pair_key`` by which ``append_novel`` knows pairs."""
+    rows = df.select("source", "target", "source_lang", "target_lang")
+    if fmt == "parquet":
+        rows = rows.withColumn("pair_key", pair_key(F.col("source"), F.col("target")))
+    rows.write.mode("overwrite").format(fmt).save(path)
 
 
 def write_examples(df: DataFrame, path: str) -> None:

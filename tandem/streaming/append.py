@@ -7,20 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tandem.functions.text import pair_key
 from tandem.operators.pairs import dedup_pairs
 from tandem.sources.readers import read_optional
 from tandem.streaming.trigger import with_trigger
 
-_KNOWN = StructType([StructField("pair_key", BinaryType())])
+_KNOWN = StructType([
+    StructField("pair_key", BinaryType()),
+    StructField("source", StringType()),
+    StructField("target", StringType()),
+])
 
 
 def append_novel(batch: DataFrame, corpus_path: str, order: Sequence[str] = ("ord",)) -> None:
     """Append the batch's new pairs to the corpus table; a missing table is begun.
 
-    Each row carries the 32-byte ``pair_key``, and that column is all a batch reads of the corpus.
+    Each row carries the 32-byte ``pair_key``, and that column is all a batch reads of the corpus. If
+    some files lack it, keys are computed from the texts.
     The known keys are cut to the keys of the batch first: if those are few enough to broadcast, the
     corpus is scanned without a shuffle.
 
@@ -32,9 +37,15 @@ def append_novel(batch: DataFrame, corpus_path: str, order: Sequence[str] = ("or
     key = pair_key(F.col("source"), F.col("target"))
     first = dedup_pairs(batch, order).withColumn("pair_key", key).persist()
     corpus = read_optional(spark, lambda: spark.read.schema(_KNOWN).parquet(corpus_path), _KNOWN)
-    known = corpus.join(first.select("pair_key"), "pair_key", "left_semi").distinct()
-    first.join(known, "pair_key", "left_anti").write.mode("append").parquet(corpus_path)
-    first.unpersist()
+    if corpus.filter(F.col("pair_key").isNull()).isEmpty():
+        keys = corpus.select("pair_key")
+    else:
+        keys = corpus.select(F.coalesce("pair_key", key).alias("pair_key"))
+    try:
+        known = keys.join(first.select("pair_key"), "pair_key", "left_semi").distinct()
+        first.join(known, "pair_key", "left_anti").write.mode("append").parquet(corpus_path)
+    finally:
+        first.unpersist()
 
 
 def stream_append(

@@ -94,3 +94,10 @@ def test_length_stats(spark):
     row = length_stats(frame(spark, (1, "a b c", "x"), (2, "a", "x y"))).first()
     assert tuple(row) == (1, 3, 2.0, 1, 2, 1.5)
     assert tuple(length_stats(frame(spark, (1, "a", "b")).limit(0)).first()) == (None,) * 6
+
+
+def test_repeated_predictions_do_not_multiply_items(spark):
+    references = spark.createDataFrame([(1, "x"), (2, "y")], "item_id int, reference string")
+    predictions = spark.createDataFrame([(1, "b"), (1, "a")], "item_id int, prediction string")
+    rows = P.pair_predictions(predictions, references).orderBy("item_id").collect()
+    assert [(r.item_id, r.prediction) for r in rows] == [(1, "a"), (2, "")]

@@ -122,3 +122,9 @@ def test_unique_rows_equal_a_window_over_all(spark):
     expected = {r.id: r.p for r in df.select("id", (F.row_number().over(window) - 1).alias("p")).collect()}
     placed = O.shuffle_pos(df, 1, ["name"])
     assert {r.id: r.pos for r in placed.collect()} == expected
+
+
+def test_leakage_knows_any_split_names(spark):
+    rows = [(1, "train"), (1, "validation"), (2, "dev"), (2, "holdout"), (3, "dev"), (3, "dev")]
+    found = O.leakage(spark.createDataFrame(rows, "pair_id int, split string")).first()
+    assert (found.n_groups, found.n_leaked) == (3, 2)

@@ -3,10 +3,12 @@ from pyspark.sql import functions as F
 from tandem.operators.pairs import dedup_pairs
 from tandem.plans.serve import translate_job
 from tandem.sources.schemas import TRANSLATE_REQUEST
+from tandem.sources.writers import write_pairs
 from tandem.streaming.append import append_novel, stream_append
 from tandem.streaming.serve import stream_job
 
 SCHEMA = "ord bigint, source string, target string"
+PAIRS = SCHEMA + ", source_lang string, target_lang string"
 
 
 def land(spark, path, rows):
@@ -67,3 +69,16 @@ def test_translate_stream_equals_batch(spark, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, job(df).collect()))
     assert streamed.filter(F.col("traduction").isNull()).count() == 0
+
+
+def test_append_knows_the_pairs_of_a_written_corpus(spark, tmp_path):
+    rows = [(1, "A", "b", "fr", "dioula"), (2, "c", "d", "fr", "dioula")]
+    df = spark.createDataFrame(rows, PAIRS)
+    for name, keyed in (("keyed", True), ("bare", False)):
+        path = str(tmp_path / name)
+        if keyed:
+            write_pairs(df, path)
+        else:
+            df.write.parquet(path)
+        append_novel(df.unionByName(spark.createDataFrame([(3, "e", "f", "fr", "dioula")], PAIRS)), path)
+        assert spark.read.parquet(path).count() == 3
