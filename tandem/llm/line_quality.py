@@ -90,9 +90,13 @@ def document_lines(docs: DataFrame, host: str) -> DataFrame:
     """(doc_id, version, at, line, n, of): the lines with a word, hashed with their host; ``n`` of the
     text's ``of`` words."""
     lines = F.transform(F.split("text", "\n"), normal_line)
-    each = docs.select("doc_id", F.col(host).alias("host"), "text").select(
+    # What is known of a whole text is computed before its lines become rows.
+    whole = docs.select("doc_id", F.col(host).alias("host"), "text").select(
         "doc_id", "host", F.xxhash64("text", "host").alias("version"),
-        word_count(F.col("text")).alias("of"), F.posexplode(lines).alias("at", "words"),
+        word_count(F.col("text")).alias("of"), lines.alias("lines"),
+    )
+    each = whole.select(
+        "doc_id", "host", "version", "of", F.posexplode("lines").alias("at", "words")
     )
     return each.filter(F.length("words") > 0).select(
         "doc_id", "version", "at", "of",
