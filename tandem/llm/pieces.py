@@ -57,6 +57,28 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += n
 
 
+class Probe:
+    """Sorted 64-bit keys to search in. A table of their hashes, mostly empty, spares the search for
+    most keys that are not there."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.taken = keys, np.zeros(1 << self.BITS, bool)
+        self.taken[self._slot(keys)] = True
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * BASE) >> np.uint64(64 - self.BITS)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The indices of those of ``keys`` that are there, and their places among the sorted ones."""
+        which = np.flatnonzero(self.taken[self._slot(keys)])
+        some = keys[which]
+        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
+        hit = self.keys[at] == some
+        return which[hit], at[hit]
+
+
 class Pieces:
     """A model's pieces as arrays. Models that normalise texts are refused."""
 
@@ -97,19 +119,21 @@ class Pieces:
         if self.model_type == BPE:
             usable = self._merges(usable)
         self.longest = max((len(self.text[i]) for i in usable), default=1)
-        chars = np.zeros((len(usable), self.longest), np.uint32)
-        for row, i in enumerate(usable):
-            chars[row, : len(self.text[i])] = [ord(c) for c in self.text[i]]
         self.power = BASE ** np.arange(self.longest + 1, dtype=np.uint64)
-        keys = np.array([self._key(chars[r, : len(self.text[i])]) for r, i in enumerate(usable)], np.uint64)
+        keys = np.array([self._key(self.text[i]) for i in usable], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(usable, np.int32)[order]
-        self.chars, self.lengths = chars[order], np.array([len(self.text[i]) for i in usable])[order]
-
-    def _key(self, codes: np.ndarray) -> np.uint64:
+        self.probe, self.ids = Probe(keys[order]), np.array(usable, np.int32)[order]
+        # The characters of each piece end at the last column.
+        self.chars = np.zeros((len(usable), self.longest), np.uint32)
+        self.lengths = np.array([len(self.text[i]) for i in self.ids], np.int64)
+        for row, i in enumerate(self.ids):
+            self.chars[row, self.longest - self.lengths[row] :] = [ord(c) for c in self.text[i]]
+        self.outside = np.arange(self.longest) < self.longest - self.lengths[:, None]
+
+    def _key(self, text: str) -> np.uint64:
         h = np.zeros(1, np.uint64)
-        for c in codes:
-            h = h * BASE + np.uint64(c) + np.uint64(1)
+        for c in text:
+            h = h * BASE + np.uint64(ord(c)) + np.uint64(1)
         return h[0]
 
     def _merges(self, usable: list[int]) -> list[int]:
@@ -159,7 +183,7 @@ class Pieces:
                 self.left[i], self.right[i] = self.number[parts[0]], self.number[parts[1]]
                 reached.add(i)
         keys = np.array(sorted(pairs), np.int64)
-        self.pair_keys, self.pair_ranks = keys, np.array([pairs[k] for k in keys.tolist()], np.int64)
+        self.pairs, self.pair_ranks = Probe(keys), np.array([pairs[k] for k in keys.tolist()], np.int64)
         return [i for i in usable if i in reached]
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -173,11 +197,10 @@ class Pieces:
         live = np.flatnonzero((a >= 0) & (b >= 0))
         x, y = a[live].astype(np.int64), b[live].astype(np.int64)
         limit = np.full(len(live), np.iinfo(np.int64).max)
-        n, last = len(self.text), len(self.pair_keys) - 1
-        while len(live) and last >= 0:
-            key = x * n + y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), last)
-            merged = (self.pair_keys[at] == key) & (2 * self.pair_ranks[at] < limit)
+        while len(live):
+            which, at = self.pairs(x * len(self.text) + y)
+            merged = np.zeros(len(live), bool)
+            merged[which] = 2 * self.pair_ranks[at] < limit[which]
             ok[live[merged]] = False
             rank_x, rank_y = self.rank[x], self.rank[y]
             on = ~merged & (np.maximum(rank_x, rank_y) >= 0)
@@ -187,84 +210,85 @@ class Pieces:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return ok
 
-    def find(self, keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """The pieces of substrings with these hashes, compared character by character; or NO_PIECE."""
-        if not len(self.keys):
-            return np.full(len(keys), NO_PIECE, np.int32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        width = codes.shape[1]
-        hit = np.flatnonzero((self.keys[at] == keys) & (self.lengths[at] == width))
-        same = (self.chars[at[hit], :width] == codes[hit]).all(axis=1)
-        found = np.full(len(keys), NO_PIECE, np.int32)
-        found[hit[same]] = self.ids[at[hit[same]]]
+    def find(self, keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """The pieces that substrings are, or NO_PIECE.
+
+        ``keys`` are the hashes of the substrings of each word that end at one place, a row a width,
+        the widest first; ``seen`` are the last characters of each word up to there. Substrings whose
+        hash is that of a piece are compared with it character by character.
+        """
+        found = np.full(keys.shape, NO_PIECE, np.int32)
+        which, at = self.probe(keys.ravel())
+        k, word = np.divmod(which, keys.shape[1])
+        same = (seen[word] == self.chars[at]) | self.outside[at]
+        hit = (self.lengths[at] == len(keys) - k) & same.all(axis=1)
+        found[k[hit], word[hit]] = self.ids[at[hit]]
         return found
 
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of equally long words, all in one row, and the number of pieces of each word."""
         n, length = codes.shape
-        prefix = np.zeros((n, length + 1), np.uint64)
+        padded = np.zeros((n, self.longest + length), np.uint32)
+        padded[:, self.longest :] = codes
+        prefix = np.zeros((length + 1, n), np.uint64)
         for j in range(length):
-            prefix[:, j + 1] = prefix[:, j] * BASE + codes[:, j].astype(np.uint64) + np.uint64(1)
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0.0
-        last = np.full((n, length + 1), START, np.int32)
+            prefix[j + 1] = prefix[j] * BASE + codes[:, j].astype(np.uint64) + np.uint64(1)
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0.0
+        last = np.full((length + 1, n), START, np.int32)
         back = np.zeros((n, length + 1), np.int16)
         rows = np.arange(n)
         for j in range(1, length + 1):
-            widths = range(min(self.longest, j), 0, -1)
-            piece = np.empty((len(widths), n), np.int32)
-            weight = np.empty((len(widths), n))
-            for k, w in enumerate(widths):
-                key = prefix[:, j] - prefix[:, j - w] * self.power[w]
-                piece[k] = self.find(key, codes[:, j - w : j])
-                if self.model_type == UNIGRAM:
-                    score = np.where(piece[k] >= 0, self.score[piece[k]], -np.inf)
-                    if w == 1:
-                        score = np.where(piece[k] >= 0, score, self.unknown_score)
-                else:
-                    score = np.where(piece[k] >= 0, 0.0, 0.0 if w == 1 else -np.inf)
-                weight[k] = best[:, j - w] + score
+            widest = min(self.longest, j)
+            keys = prefix[j] - prefix[j - widest : j] * self.power[widest:0:-1, None]
+            piece = self.find(keys, padded[:, j : j + self.longest])
+            if self.model_type == UNIGRAM:
+                score = np.where(piece >= 0, self.score[piece], -np.inf)
+                score[-1][piece[-1] < 0] = self.unknown_score
+            else:
+                score = np.where(piece >= 0, 0.0, -np.inf)
+                score[-1] = 0.0
+            weight = best[j - widest : j] + score
             if self.model_type == BPE:
                 k, row = np.nonzero(weight > -np.inf)
-                before = last[row, j - (min(self.longest, j) - k)]
-                apart = self.stay_apart(before, piece[k, row])
+                apart = self.stay_apart(last[j - widest + k, row], piece[k, row])
                 weight[k[~apart], row[~apart]] = -np.inf
             pick = weight.argmax(axis=0)
-            best[:, j] = weight[pick, rows]
-            last[:, j] = piece[pick, rows]
-            back[:, j] = min(self.longest, j) - pick
+            best[j] = weight[pick, rows]
+            last[j] = piece[pick, rows]
+            back[:, j] = widest - pick
         kept = np.zeros((n, length + 1), bool)
         at, live = np.full(n, length), rows
         while len(live):
             kept[live, at[live]] = True
             at[live] -= back[live, at[live]]
             live = live[at[live] > 0]
-        return last[kept], kept.sum(axis=1)
+        return last.T[kept], kept.sum(axis=1)
 
-    def word_ids(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of words, in groups of equal length."""
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words as 32-bit little-endian integers, in groups of equal length."""
         groups: dict[int, list[str]] = {}
         for word in words:
             groups.setdefault(len(word), []).append(word)
-        got: dict[str, list[int]] = {}
+        got: dict[str, bytes] = {}
         for length, group in groups.items():
             step = max(1, CELLS // (length * self.longest))
             for k in range(0, len(group), step):
                 some = group[k : k + step]
                 codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32)
-                codes = codes.reshape(len(some), length)
-                ids, counts = self.viterbi(codes)
-                ids, ends = ids.tolist(), np.cumsum(counts).tolist()
-                start = 0
-                for word, end in zip(some, ends):
-                    got[word] = self._fill(word, ids[start:end])
+                ids, counts = self.viterbi(codes.reshape(len(some), length))
+                ends = np.cumsum(counts)
+                gaps = np.flatnonzero(np.minimum.reduceat(ids, ends - counts) < 0)
+                data, start = ids.astype("<u4").tobytes(), 0
+                for word, end in zip(some, (4 * ends).tolist()):
+                    got[word] = data[start:end]
                     start = end
+                for i in gaps.tolist():
+                    got[some[i]] = self._fill(some[i], ids[ends[i] - counts[i] : ends[i]].tolist())
         return got
 
-    def _fill(self, word: str, pieces: list[int]) -> list[int]:
+    def _fill(self, word: str, pieces: list[int]) -> bytes:
         """Bytes, or one unknown id for a row of them, in place of characters without a piece."""
-        if min(pieces) >= 0:
-            return pieces
         out, at = [], 0
         for piece in pieces:
             if piece >= 0:
@@ -276,7 +300,7 @@ class Pieces:
             elif not out or out[-1] != self.unknown:
                 out.append(self.unknown)
             at += 1
-        return out
+        return np.array(out, "<u4").tobytes()
 
     def blanks(self, n: int) -> list[int]:
         """Ids of n blanks in a row when all their merges have one score: the leftmost comes first."""
@@ -304,7 +328,7 @@ class Pieces:
         known.update((x, older[x]) for x in new & older.keys())
         new = new.difference(known)
         ids_of = self.word_ids([SPACE + x for x in new])
-        known.update((x, np.array(ids_of[SPACE + x], "<u4").tobytes()) for x in new)
+        known.update((x, ids_of[SPACE + x]) for x in new)
         for parts, ids, missing in gaps:
             for k in missing:
                 ids[k] = known.get(parts[k])
@@ -331,7 +355,7 @@ class Pieces:
                     run = 0
             words += [SPACE * run] if run else []
             found = self.word_ids(list(dict.fromkeys(words)))
-            return b"".join(np.array(found[w], "<u4").tobytes() for w in words)
+            return b"".join(found[w] for w in words)
         for x, ids in zip(parts, word_ids):
             run += 1
             if x:
