@@ -76,11 +76,14 @@ pairs AS (
   WHERE source <> '' AND target <> '')
 """
 
-_HEAD = _q(
-    "<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n"
-    + V.SYSTEM_PROMPT
-    + "<|eot_id|><|start_header_id|>user<|end_header_id|>\n"
-)
+
+def _head(system: str) -> str:
+    return _q(
+        f"<|begin_of_text|><|start_header_id|>system<|end_header_id|>\n{system}"
+        "<|eot_id|><|start_header_id|>user<|end_header_id|>\n"
+    )
+
+
 _TAIL = _q("<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n")
 
 
@@ -89,8 +92,8 @@ def _fill(template: str, x: str) -> str:
     return f"({_q(before)} || {x} || {_q(after)})"
 
 
-def _prompt(user: str) -> str:
-    return f"{_HEAD} || {user} || {_TAIL}"
+def _prompt(user: str, system: str = V.SYSTEM_PROMPT) -> str:
+    return f"{_head(system)} || {user} || {_TAIL}"
 
 
 _CHOICE = _md5_number("md5(concat_ws(chr(31), '42', source, target))") + " % 4"
@@ -254,7 +257,7 @@ def _stub(max_tokens: str, prompt: str) -> str:
 
 _CHAT = f"""
 WITH {_CHAT_REQUESTS},
-replies AS (SELECT *, {_stub('max_tokens', _prompt('message'))} AS reponse
+replies AS (SELECT *, {_stub('max_tokens', _prompt('message', V.SERVING_PROMPT))} AS reponse
             FROM checked WHERE errors = '')
 SELECT request_id, true AS success, session_id, reponse,
        {_language('message')} AS langue_detectee, {_language('reponse')} AS langue_reponse,
@@ -269,7 +272,7 @@ directed AS (SELECT *,
                  ELSE {_fill(V.REVERSE_REQUEST, 'texte')} END AS message
   FROM checked WHERE errors = '')
 SELECT request_id, true AS success, texte AS texte_original,
-       {_stub('256', _prompt('message'))} AS traduction, direction,
+       {_stub('256', _prompt('message', V.SERVING_PROMPT))} AS traduction, direction,
        CASE direction WHEN 'fr_to_dioula' THEN 'français' ELSE 'dioula' END AS langue_source,
        CASE direction WHEN 'fr_to_dioula' THEN 'dioula' ELSE 'français' END AS langue_cible
 FROM directed

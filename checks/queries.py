@@ -256,7 +256,7 @@ def preview_shuffled(spark, sf):
 def example_build(spark, sf):
     """Corpus, cap, fan-out and pair-safe split; examples and bytes per split and kind."""
     corpus = stage(_corpus(spark, sf).select(*PAIR_TEXTS), "corpus")
-    rows = prepare_examples(corpus, SEED)
+    rows = prepare_examples(corpus, SEED, unique=True)
     return rows.groupBy("split", "kind").agg(
         F.count(F.lit(1)).alias("n_examples"),
         F.sum(F.octet_length("prompt")).alias("prompt_bytes"),

@@ -26,6 +26,13 @@ SYSTEM_PROMPT = (
     "Tu peux traduire entre le français et le Dioula, "
     "et converser naturellement dans les deux langues."
 )
+SERVING_PROMPT = (
+    "Tu es Dioula-AI, un assistant expert en langue Dioula (Jula), "
+    "parlée en Côte d'Ivoire et au Burkina Faso. "
+    "Tu peux traduire entre le français et le Dioula, "
+    "et converser naturellement dans les deux langues. "
+    "Tes réponses sont courtes, précises et naturelles."
+)
 FORWARD_REQUEST = "Traduis en Dioula : {text}"
 REVERSE_REQUEST = "Traduis en français : {text}"
 QUESTION_REQUESTS = (
@@ -75,7 +82,6 @@ TRANSLATE_TEMPERATURE = 0.1
 SEED = 42
 TRAIN_RATIO = 0.90
 VALID_RATIO = 0.05
-MAX_PAIRS = 38027
 MIN_CHARS = 2
 MAX_SEQ_LENGTH = 512
 

@@ -14,31 +14,53 @@ from tandem.sources.schemas import GENERATED
 Generator = Callable[[str, int, float], str]
 
 
-def generate(df: DataFrame, make_generator: Callable[[], Generator]) -> DataFrame:
+BatchGenerator = Callable[[list[str], list[int], list[float]], list[str]]
+
+
+def generate(
+    df: DataFrame, make_generator: Callable[[], Generator | BatchGenerator], batched: bool = False
+) -> DataFrame:
     """Add ``generated`` (output, latence_ms, success, error) for prompt, max_tokens, temperature.
 
     ``make_generator`` loads the caller's model; each task calls it once, before its first row, and
-    then the result once per row. A row whose generation fails carries the error text, and the rest
+    then the result once per row, or with ``batched`` once per Arrow batch, on lists. If a batch fails,
+    or has another number of outputs, its rows are tried one by one to find which. A row whose generation fails carries the error text, and the rest
     of the task goes on; a factory that fails fails the task, as no row could succeed.
 
     Only the three inputs travel to Python, in Arrow batches; the other columns stay in the JVM.
     The function is marked non-deterministic so that no plan evaluates it twice.
     """
 
+    def one_row(model, inputs: tuple[str, int, float]) -> tuple:
+        start = time.monotonic()
+        try:
+            output = model(*([x] for x in inputs))[0] if batched else model(*inputs)
+            error = None
+        except Exception as problem:
+            output, error = None, str(problem) or type(problem).__name__
+        return output, int((time.monotonic() - start) * 1000), error is None, error
+
+    def whole_batch(model, inputs: list[tuple[str, int, float]]) -> list[tuple] | None:
+        """The rows of a batch, each with the mean latency; or None if it failed."""
+        start = time.monotonic()
+        try:
+            outputs = list(model(*map(list, zip(*inputs)))) if inputs else []
+        except Exception:
+            return None
+        if len(outputs) != len(inputs):
+            return None
+        latency = int((time.monotonic() - start) * 1000 / max(1, len(inputs)))
+        return [(x, latency, True, None) for x in outputs]
+
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         model = None
         for prompts, max_tokens, temperatures in batches:
             if model is None:
                 model = make_generator()
-            rows = []
-            for prompt, limit, temperature in zip(prompts, max_tokens, temperatures):
-                start = time.monotonic()
-                try:
-                    output, error = model(prompt, int(limit), float(temperature)), None
-                except Exception as problem:
-                    output, error = None, str(problem) or type(problem).__name__
-                latency = int((time.monotonic() - start) * 1000)
-                rows.append((output, latency, error is None, error))
+            inputs = list(zip(prompts, map(int, max_tokens), map(float, temperatures)))
+            rows = whole_batch(model, inputs) if batched else None
+            if rows is None:
+                rows = [one_row(model, x) for x in inputs]
             yield pd.DataFrame(rows, columns=["output", "latence_ms", "success", "error"])
 
     hook = F.pandas_udf(run, GENERATED).asNondeterministic()

@@ -30,6 +30,8 @@ SPLITS = ("train", "valid", "test")
 
 
 def _hashed(df: DataFrame, seed: int | str, keys: Sequence[str], digits: int) -> DataFrame:
+    if not 1 <= digits <= BUCKET_DIGITS:
+        raise ValueError(f"between 1 and {BUCKET_DIGITS} digits: the table of buckets is broadcast")
     hashed = df.withColumn("_hash", row_hash(seed, [F.col(k) for k in keys]))
     leading = F.conv(F.substring("_hash", 1, digits), 16, 10).cast("int")
     # Never null; said so, or a join on it would add a filter that hashes every row again.

@@ -31,6 +31,7 @@ def prepare_examples(
     max_pairs: int | None = None,
     system: str = V.SYSTEM_PROMPT,
     split_pairs: bool = True,
+    unique: bool = False,
 ) -> DataFrame:
     """Examples with their split: cap, minimum length, fan-out, split, in that order.
 
@@ -38,16 +39,18 @@ def prepare_examples(
     no row is shuffled. With ``split_pairs=False`` it is drawn on shuffled examples, which lets a
     pair appear in train and test alike; those rows also carry ``pos``.
 
-    ``corpus`` must be free of duplicate pairs, as ``build_corpus`` leaves it. A cap reads it three
-    times, so pass a corpus that was written. The kept pairs are staged with their ids: the passes
+    Repeated pairs are kept, count towards the cap, and share their split, whose sizes then count
+    different pairs. ``unique`` states that there are none, as ``build_corpus`` leaves it, which spares
+    a pass over the ids and a shuffle under a cap. A cap reads the corpus more than once, so pass one
+    that was written. The kept pairs are staged with their ids: the passes
     that look for the cuts then read the ids and not the texts.
     """
     pairs = corpus.select("source", "target", "source_lang", "target_lang")
     if max_pairs is not None:
-        pairs = cap(pairs, max_pairs, seed, ("source", "target"), unique=True)
+        pairs = cap(pairs, max_pairs, seed, ("source", "target"), unique=unique)
     pairs = stage(with_pair_id(min_chars(pairs)), "pairs")
     if split_pairs:
-        pairs = split(pairs, seed=seed, by=("pair_id",), unique=True)
+        pairs = split(pairs, seed=seed, by=("pair_id",), unique=unique)
         return expand(pairs, seed, system=system).select(
             "pair_id", "kind", "prompt", "completion", "split"
         )

@@ -29,7 +29,7 @@ def chat_job(
     requests: DataFrame,
     make_generator: Callable[[], Generator],
     model_name: str = "model",
-    system: str = V.SYSTEM_PROMPT,
+    system: str = V.SERVING_PROMPT,
 ) -> DataFrame:
     """Replies to (request_id, message, session_id, max_tokens, temperature)."""
     filled = fill_chat_defaults(accepted(validate_chat(requests)))
@@ -56,7 +56,7 @@ def chat_job(
 def translate_job(
     requests: DataFrame,
     make_generator: Callable[[], Generator],
-    system: str = V.SYSTEM_PROMPT,
+    system: str = V.SERVING_PROMPT,
 ) -> DataFrame:
     """Translations of (request_id, texte, direction)."""
     directed = direction_request(fill_translate_defaults(accepted(validate_translate(requests))))

@@ -133,6 +133,18 @@ def test_prepare_examples_both_ways(spark):
     assert sizes["train"] == int(n * 0.9) and sizes["valid"] == int(n * 0.05)
 
 
+def test_prepare_examples_of_repeated_pairs(spark):
+    pairs = spark.range(1000).select(
+        F.format_string("source %s", F.col("id") % 50).alias("source"), F.lit("tt").alias("target"),
+        F.lit("fr").alias("source_lang"), F.lit("dioula").alias("target_lang"),
+    )
+    whole = prepare_examples(pairs)
+    assert whole.count() == 3000
+    groups = whole.select("pair_id", "split").distinct().groupBy("split").count().collect()
+    assert {r.split: r["count"] for r in groups} == {"train": 45, "valid": 2, "test": 3}
+    assert prepare_examples(pairs, max_pairs=505).count() == 3 * 505
+
+
 def echo():
     def make():
         def model(prompt, max_tokens, temperature):

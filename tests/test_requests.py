@@ -85,6 +85,29 @@ def test_generate_once_per_task_and_errors_per_row(spark, tmp_path):
             assert (g.output, g.success, g.error) == (f"{r.prompt[-3:]}|5|0.5<|eot_id|>", True, None)
 
 
+def test_batches_with_errors_per_row(spark):
+    def make():
+        def model(prompts, max_tokens, temperatures):
+            assert len(prompts) == len(max_tokens) == len(temperatures)
+            if "bad" in prompts:
+                raise ValueError("refused")
+            if "short" in prompts and len(prompts) > 1:
+                return []
+            return [f"{p}|{n}|{t}" for p, n, t in zip(prompts, max_tokens, temperatures)]
+
+        return model
+
+    for odd in ("bad", "short", "fine"):
+        rows = [(i, odd if i == 3 else f"p{i}", 5, 0.5) for i in range(20)]
+        df = spark.createDataFrame(rows, "id bigint, prompt string, max_tokens int, temperature double")
+        for r in generate(df.coalesce(1), make, batched=True).collect():
+            g = r.generated
+            if r.prompt == "bad":
+                assert (g.output, g.success, g.error) == (None, False, "refused")
+            else:
+                assert (g.output, g.success, g.error) == (f"{r.prompt}|5|0.5", True, None)
+
+
 def test_generated_fields_come_from_one_evaluation(spark, tmp_path):
     df = spark.createDataFrame([("p", 5, 0.5)], "prompt string, max_tokens int, temperature double")
     log = str(tmp_path / "log")
