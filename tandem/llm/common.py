@@ -43,12 +43,16 @@ def word_count(text: Column) -> Column:
 def worker_state(name: str, make: Callable[[], Any]) -> Any:
     """One object for each Python worker process, kept from task to task.
 
-    Functions that travel by value get new globals in every task; a cache has to live elsewhere.
+    Functions that travel by value get new globals in every task; a cache has to live elsewhere. A
+    worker holds one such object: that of an earlier stage goes when another is asked for, so workers
+    do not gather the tables of all that they have ever run.
     """
     store = sys.modules.setdefault("tandem_worker_state", types.ModuleType("tandem_worker_state"))
-    if name not in store.__dict__:
-        store.__dict__[name] = make()
-    return store.__dict__[name]
+    held = store.__dict__.setdefault("held", {})
+    if name not in held:
+        held.clear()
+        held[name] = make()
+    return held[name]
 
 
 def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
