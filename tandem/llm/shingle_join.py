@@ -28,7 +28,7 @@ SHINGLE, PERCENT = 4, 85
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 STEPS = tuple(np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
 #: A word's hash is kept by the worker; so many at most.
-WORDS = 400_000
+WORDS = 200_000
 #: Sets that a task has indexed and need not index again.
 SEEN = 200_000
 #: Members of a segment's list of which all pairs are tried at once.
@@ -358,28 +358,28 @@ def links(docs: DataFrame, of: DataFrame, size: int, percent: int) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
-                ends = some.column(4).offsets.to_numpy()
-                items = some.column(4).values.to_numpy().view(np.uint64)
-                sizes = np.diff(ends)
-                known: dict[tuple[int, int], bytes] = {}
-                made = []
-                for i, of in enumerate(zip(some.column(2).to_pylist(), some.column(1).to_pylist())):
-                    if of not in known:
-                        known[of] = sketch(items[ends[i] : ends[i + 1]], of[1])
-                    made.append(known[of])
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                ends = some.column(2).offsets.to_numpy()
+                items = some.column(2).values.to_numpy().view(np.uint64)
+                made = [
+                    sketch(items[ends[i] : ends[i + 1]], band)
+                    for i, band in enumerate(some.column(1).to_pylist())
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        some.column(0), some.column(2), some.column(3),
-                        pa.array(sizes, pa.int64()), pa.array(made, pa.binary()),
+                        some.column(0), some.column(1), pa.array(np.diff(ends), pa.int64()),
+                        pa.array(made, pa.binary()),
                     ],
-                    names=["sig", "node", "root", "n", "sketch"],
+                    names=["node", "band", "n", "sketch"],
                 )
 
-    shown = open_lists.join(sets, "node").select("sig", "band", "node", "root", "items").mapInArrow(
-        sketched, "sig long, node long, root long, n long, sketch binary"
+    # A set is sketched once a band, however many lists it is in; lists are joined with the sketches.
+    bands = open_lists.select("node", "band").distinct()
+    sketches = bands.join(sets, "node").select("node", "band", "items").mapInArrow(
+        sketched, "node long, band int, n long, sketch binary"
     )
+    shown = open_lists.join(sketches, ["node", "band"]).select("sig", "node", "root", "n", "sketch")
     rest = shown.repartition("sig").sortWithinPartitions("sig").mapInArrow(
         _across(percent), "a long, b long"
     )
