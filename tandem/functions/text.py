@@ -103,10 +103,12 @@ def content_id(*cols: Column) -> Column:
 
 
 def pair_key(source: Column, target: Column) -> Column:
-    """SHA-256 of the lower-cased pair in 32 bytes: what a pair is known by in a growing table."""
+    """SHA-256 of the lower-cased pair in 32 bytes: what a pair is known by. A null side is a key of its
+    own, apart from every text."""
     sides = []
     for side in (F.lower(source), F.lower(target)):
-        sides += [F.length(side).cast("string"), F.lit(":"), side]
+        size = F.coalesce(F.length(side), F.lit(-1))
+        sides += [size.cast("string"), F.lit(":"), F.coalesce(side, F.lit(""))]
     return F.unhex(F.sha2(F.concat(*sides), 256))
 
 

@@ -35,10 +35,24 @@ def expand(
     The rows are tripled by kind first and the texts filled in after, so that a plan that needs only
     ids and kinds builds no prompt. All columns but the texts and languages are carried along.
     """
+    return fill(triple(df), seed, phrasings, system)
+
+
+def triple(df: DataFrame) -> DataFrame:
+    """A row per pair and ``kind``, without prompts: what is cheap to rank and shuffle."""
+    return df.select("*", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
+
+
+def fill(
+    tripled: DataFrame,
+    seed: int = V.SEED,
+    phrasings: Sequence[str] = V.QUESTION_REQUESTS,
+    system: str = V.SYSTEM_PROMPT,
+) -> DataFrame:
+    """Prompt and completion in place of the texts and languages of ``triple``."""
     source, target, kind = F.col("source"), F.col("target"), F.col("kind")
-    used = ("source", "target", "source_lang", "target_lang")
-    kept = [c for c in df.columns if c not in used]
-    tripled = df.select("*", F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
+    used = ("source", "target", "source_lang", "target_lang", "kind")
+    kept = [c for c in tripled.columns if c not in used]
     forward, reverse, _ = KINDS
     prompt = (
         F.when(kind == forward, forward_prompt(source, system))

@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as V
-from tandem.functions.text import clean, strip
-
-# Lower-cased sides. Two columns, never one joined string: ("a", "bc") is not ("ab", "c").
-KEY_COLUMNS = ("source_key", "target_key")
+from tandem.functions.text import clean, pair_key, strip
 
 
 def to_pairs(
@@ -57,25 +54,26 @@ def union_sources(sources: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
-def _keys() -> list[Column]:
-    return [F.lower("source").alias(KEY_COLUMNS[0]), F.lower("target").alias(KEY_COLUMNS[1])]
+def _key() -> Column:
+    return pair_key(F.col("source"), F.col("target")).alias("pair_key")
 
 
 def _first_by_key(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """One row per case-insensitive pair, the first in ``order``, with the key columns.
+    """One row per case-insensitive pair, the first in ``order``, with its ``pair_key``.
 
+    The key is the 32-byte digest, so texts are shuffled once and not a second time as a key.
     An aggregate rather than a window: copies are dropped before the shuffle, so a pair that makes
     up a third of the input reaches the reducer as one row per task. Rows equal in ``order`` are
     told apart by their remaining columns, so the result never depends on partitioning.
     """
     rest = [c for c in df.columns if c not in order]
-    best = df.groupBy(*_keys()).agg(F.min(F.struct(*order, *rest)).alias("best"))
-    return best.select(*KEY_COLUMNS, *[F.col("best")[c].alias(c) for c in df.columns])
+    best = df.groupBy(_key()).agg(F.min(F.struct(*order, *rest)).alias("best"))
+    return best.select("pair_key", *[F.col("best")[c].alias(c) for c in df.columns])
 
 
 def dedup_pairs(df: DataFrame, order: Sequence[str] = ("pri", "ord")) -> DataFrame:
     """First row per (lower source, lower target); it keeps its own casing."""
-    return _first_by_key(df, order).drop(*KEY_COLUMNS)
+    return _first_by_key(df, order).drop("pair_key")
 
 
 def novel_rows(
@@ -87,8 +85,8 @@ def novel_rows(
     of the anti-join: no shuffle is added, and no key is hot.
     """
     first = _first_by_key(new, order)
-    known = corpus.select(*_keys()).distinct()
-    return first.join(known, list(KEY_COLUMNS), "left_anti").select(*new.columns)
+    known = corpus.select(_key()).distinct()
+    return first.join(known, "pair_key", "left_anti").select(*new.columns)
 
 
 def coverage(benchmark: DataFrame, corpus: DataFrame, on: str = "pair") -> DataFrame:

@@ -70,7 +70,7 @@ def shuffle_pos(
     The input is read twice: ``stage`` it first if it is costly to compute.
     """
     if not unique:
-        return _shuffle_copies(df, seed, keys, digits)
+        return _unfold(_ranked_copies(df, seed, keys, digits), df.columns)
     hashed = _hashed(df, seed, keys, digits)
     offsets = _bucket_offsets(hashed, F.count(F.lit(1)))
     in_bucket = W.partitionBy("_bucket").orderBy("_hash", *keys)
@@ -82,9 +82,10 @@ def shuffle_pos(
     )
 
 
-def _shuffle_copies(
+def _ranked_copies(
     df: DataFrame, seed: int | str, keys: Sequence[str], digits: int
 ) -> DataFrame:
+    """Different rows with ``_start`` (the position of the first copy), ``_copies`` and ``n_rows``."""
     rest = [c for c in df.columns if c not in keys]
     folded = (
         _hashed(df, seed, keys, digits)
@@ -98,24 +99,22 @@ def _shuffle_copies(
         .rowsBetween(W.unboundedPreceding, -1)
     )
     start = F.col("_offset") + F.coalesce(F.sum("_copies").over(before), F.lit(0))
-    ranked = folded.join(F.broadcast(offsets), "_bucket").select(
+    return folded.join(F.broadcast(offsets), "_bucket").select(
         *df.columns, start.alias("_start"), "_copies", F.col("_total").alias("n_rows")
     )
 
-    def unfold(rows: DataFrame, first: Column, last: Column) -> DataFrame:
-        number = F.explode(F.sequence(first, last))
-        return rows.select(*df.columns, number.alias("pos"), "n_rows")
 
+def _unfold(ranked: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for each copy with its ``pos``. Copies are cut into runs, and runs dealt out, so that no
+    task unfolds a hot row alone."""
     end = F.col("_start") + F.col("_copies") - 1
-    few = unfold(ranked.filter(F.col("_copies") <= COPY_RUN), F.col("_start"), end)
     runs = (
-        ranked.filter(F.col("_copies") > COPY_RUN)
-        .withColumn("_end", end)
+        ranked.withColumn("_end", end)
         .withColumn("_from", F.explode(F.sequence("_start", "_end", F.lit(COPY_RUN))))
         .repartition("_from")
     )
-    many = unfold(runs, F.col("_from"), F.least(F.col("_from") + COPY_RUN - 1, F.col("_end")))
-    return few.unionByName(many)
+    last = F.least(F.col("_from") + COPY_RUN - 1, F.col("_end"))
+    return runs.select(*columns, F.explode(F.sequence("_from", last)).alias("pos"), "n_rows")
 
 
 def _cut_keys(
@@ -173,11 +172,12 @@ def cap(
     """The first n rows of the seeded shuffle.
 
     With ``unique`` keys no row is shuffled: the key at position n is found and rows are compared
-    with it. The rows come in no particular order.
+    with it. Otherwise copies are cut while they are folded, and only what is kept is unfolded. The rows come in no particular order.
     """
     if not unique:
-        placed = shuffle_pos(df, seed, keys, False, digits)
-        return placed.filter(F.col("pos") < n).select(*df.columns)
+        ranked = _ranked_copies(df, seed, keys, digits).filter(F.col("_start") < n)
+        kept = F.least(F.col("_copies"), F.lit(n) - F.col("_start"))
+        return _unfold(ranked.withColumn("_copies", kept), df.columns).select(*df.columns)
     cuts = _cut_keys(df, seed, keys, [F.lit(n).cast("bigint")], digits)
     return df.filter(_before(_cut_key(seed, keys), cuts.scalar()["cut0"]))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as V
-from tandem.operators.examples import expand, with_pair_id
+from tandem.operators.examples import fill, triple, with_pair_id
 from tandem.operators.pairs import dedup_pairs, min_chars, union_sources
 from tandem.operators.sample import cap, shuffle_pos, split, split_at
 from tandem.sources.workspace import stage
@@ -19,9 +19,12 @@ def build_corpus(
 ) -> DataFrame:
     """Deduplicated pairs of all sources, the earlier source and then the earlier row winning.
 
-    Each source is (name, clean pairs from ``to_pairs`` that carry the ``order`` columns). One
+    Each source is (name, clean pairs from ``to_pairs`` that carry the ``order`` columns); in one that
+    ``read_splits`` read, keep its ``split_ord`` too: earlier splits then win over later ones. One
     exchange, on the pair.
     """
+    if any("split_ord" in df.columns for _, df in sources) and "split_ord" not in order:
+        order = ("split_ord", *order)
     return dedup_pairs(union_sources(sources), ("pri", *order))
 
 
@@ -35,9 +38,10 @@ def prepare_examples(
 ) -> DataFrame:
     """Examples with their split: cap, minimum length, fan-out, split, in that order.
 
-    By default the split is drawn on pairs, so that the three examples of a pair stay together, and
-    no row is shuffled. With ``split_pairs=False`` it is drawn on shuffled examples, which lets a
-    pair appear in train and test alike; those rows also carry ``pos``.
+    Examples are shuffled: ``pos`` is their place in the seeded order of all, and of those of a split.
+    Ids and bare pairs are ranked, and the prompts filled in after. By default the split is drawn on
+    pairs, so that the three examples of a pair stay together; with ``split_pairs=False`` it is drawn
+    on examples, which lets a pair appear in train and test alike.
 
     Repeated pairs are kept, count towards the cap, and share their split, whose sizes then count
     different pairs. ``unique`` states that there are none, as ``build_corpus`` leaves it, which spares
@@ -51,9 +55,9 @@ def prepare_examples(
     pairs = stage(with_pair_id(min_chars(pairs)), "pairs")
     if split_pairs:
         pairs = split(pairs, seed=seed, by=("pair_id",), unique=unique)
-        return expand(pairs, seed, system=system).select(
-            "pair_id", "kind", "prompt", "completion", "split"
-        )
-    examples = expand(pairs, seed, system=system)
-    placed = shuffle_pos(examples, f"{seed}/examples", ("pair_id", "kind"), unique=True)
-    return split_at(placed).drop("n_rows")
+    placed = shuffle_pos(triple(pairs), f"{seed}/examples", ("pair_id", "kind"), unique=unique)
+    if not split_pairs:
+        placed = split_at(placed)
+    return fill(placed, seed, system=system).select(
+        "pair_id", "kind", "pos", "prompt", "completion", "split"
+    )

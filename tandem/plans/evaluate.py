@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as V
 from tandem.functions.detect import clean_output, last_reply
 from tandem.functions.templates import chat_prompt, request_text
-from tandem.operators.generate import Generator, generate
+from tandem.operators.generate import BatchGenerator, Generator, generate
 from tandem.operators.score import score_items, score_report, score_totals, smoke_report
 from tandem.sources.writers import write_details, write_summary
 
@@ -21,7 +21,10 @@ SMOKE_TEMPERATURE = 0.3
 
 
 def run_benchmark(
-    items: DataFrame, make_generator: Callable[[], Generator], system: str = V.SYSTEM_PROMPT
+    items: DataFrame,
+    make_generator: Callable[[], Generator | BatchGenerator],
+    system: str = V.SYSTEM_PROMPT,
+    batched: bool = False,
 ) -> DataFrame:
     """Scored items from benchmark items (item_id, source, reference).
 
@@ -35,7 +38,7 @@ def run_benchmark(
         "temperature": F.lit(BENCHMARK_TEMPERATURE),
     })
     raw = F.coalesce(F.col("generated.output"), F.lit(""))
-    predicted = generate(prompted, make_generator).select(
+    predicted = generate(prompted, make_generator, batched).select(
         *items.columns, clean_output(raw).alias("prediction")
     )
     return score_items(predicted)
@@ -51,7 +54,10 @@ def publish(scored: DataFrame, path: str) -> DataFrame:
 
 
 def run_smoke(
-    cases: DataFrame, make_generator: Callable[[], Generator], system: str = V.SYSTEM_PROMPT
+    cases: DataFrame,
+    make_generator: Callable[[], Generator | BatchGenerator],
+    system: str = V.SYSTEM_PROMPT,
+    batched: bool = False,
 ) -> DataFrame:
     """Pass count and verdict over smoke prompts (case_id, type, prompt)."""
     prompted = cases.withColumns({
@@ -61,5 +67,5 @@ def run_smoke(
     })
     output = F.coalesce(F.col("generated.output"), F.lit(""))
     error = F.coalesce(F.col("generated.error"), F.lit(""))
-    answered = generate(prompted, make_generator)
+    answered = generate(prompted, make_generator, batched)
     return smoke_report(answered.select(last_reply(output, error).alias("response")))

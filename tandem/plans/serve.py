@@ -2,6 +2,7 @@
 
 Both are one chain of narrow steps, so the same function serves a batch and a streaming frame.
 Requests that fail validation are left out here; ``rejected(validate_...(requests))`` lists them.
+With ``batched`` the model takes whole batches, as ``generate`` describes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tandem.functions import fixed_values as V
 from tandem.functions.detect import detect_language, drop_special_tokens, intent_mode
 from tandem.functions.templates import chat_prompt
-from tandem.operators.generate import Generator, generate
+from tandem.operators.generate import BatchGenerator, Generator, generate
 from tandem.operators.requests import (
     accepted,
     direction_request,
@@ -27,14 +28,15 @@ from tandem.operators.requests import (
 
 def chat_job(
     requests: DataFrame,
-    make_generator: Callable[[], Generator],
+    make_generator: Callable[[], Generator | BatchGenerator],
     model_name: str = "model",
     system: str = V.SERVING_PROMPT,
+    batched: bool = False,
 ) -> DataFrame:
     """Replies to (request_id, message, session_id, max_tokens, temperature)."""
     filled = fill_chat_defaults(accepted(validate_chat(requests)))
     prompted = filled.withColumn("prompt", chat_prompt(F.col("message"), system))
-    answered = generate(prompted, make_generator).withColumn(
+    answered = generate(prompted, make_generator, batched).withColumn(
         "reponse", drop_special_tokens(F.col("generated.output"))
     )
     return answered.select(
@@ -55,8 +57,9 @@ def chat_job(
 
 def translate_job(
     requests: DataFrame,
-    make_generator: Callable[[], Generator],
+    make_generator: Callable[[], Generator | BatchGenerator],
     system: str = V.SERVING_PROMPT,
+    batched: bool = False,
 ) -> DataFrame:
     """Translations of (request_id, texte, direction)."""
     directed = direction_request(fill_translate_defaults(accepted(validate_translate(requests))))
@@ -65,7 +68,7 @@ def translate_job(
         "max_tokens": F.lit(V.TRANSLATE_MAX_TOKENS),
         "temperature": F.lit(V.TRANSLATE_TEMPERATURE),
     })
-    answered = generate(prompted, make_generator)
+    answered = generate(prompted, make_generator, batched)
     return answered.select(
         "request_id",
         F.col("generated.success").alias("success"),

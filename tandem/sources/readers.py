@@ -38,11 +38,16 @@ def read_splits(
     schema: StructType = S.HUB_ROW,
     fmt: str = "parquet",
 ) -> DataFrame:
-    """Several named splits of one data set as one frame, with the name in column ``split``."""
-    frames = [
-        read_table(spark, path, schema, fmt).withColumn("split", F.lit(name))
-        for name, path in paths.items()
-    ]
+    """Several named splits of one data set as one frame, with the name in column ``split`` and its
+    place among them in ``split_ord``. Rows keep their arrival order only by ``ord``: reading one that
+    has none is an error."""
+    frames = []
+    for at, (name, path) in enumerate(paths.items()):
+        rows = read_table(spark, path, schema, fmt)
+        if "ord" in rows.columns:
+            missing = F.raise_error(F.lit(f"split {name}: a row without ord")).cast("bigint")
+            rows = rows.withColumn("ord", F.coalesce("ord", missing))
+        frames.append(rows.withColumns({"split": F.lit(name), "split_ord": F.lit(at)}))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +24,34 @@ def write_pairs(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     rows.write.mode("overwrite").format(fmt).save(path)
 
 
+def write_array(df: DataFrame, path: str) -> None:
+    """The clean corpus as files that each hold one JSON array, which ``json_array`` reads.
+
+    A file a task, written line by line, so no task holds its array.
+    """
+    lines = df.select(F.to_json(F.struct("source", "target", "source_lang", "target_lang")).alias("value"))
+
+    def bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = "["
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            for k, row in enumerate(rows):
+                rows[k], before = before + row, ","
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], names=["value"])
+        end = "]" if before == "," else "[]"
+        yield pa.RecordBatch.from_arrays([pa.array([end])], names=["value"])
+
+    lines.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def write_examples(df: DataFrame, path: str) -> None:
     """Write all splits in one pass, as ``split=<name>`` folders of JSON lines.
 
-    The rows keep the order they have within each task, so a frame from ``shuffle_pos`` is written
-    shuffled without another sort.
+    ``pos`` is written where there is one: the seeded order of a split is that of its ``pos``, whatever
+    files its lines are in. ``read_examples`` does not need it.
     """
-    df.select("split", "prompt", "completion").write.mode("overwrite").partitionBy("split").json(
+    place = [c for c in ("pos",) if c in df.columns]
+    df.select("split", *place, "prompt", "completion").write.mode("overwrite").partitionBy("split").json(
         path
     )
 

@@ -36,8 +36,11 @@ def test_splits_may_lack_columns(spark, tmp_path):
         f"{tmp_path}/b"
     )
     df = R.read_splits(spark, {"train": f"{tmp_path}/a", "dev": f"{tmp_path}/b"})
-    assert df.columns == ["ord", "fr", "transcription", "split"]
-    assert {tuple(r) for r in df.collect()} == {(1, "a", None, "train"), (2, None, "b", "dev")}
+    assert df.columns == ["ord", "fr", "transcription", "split", "split_ord"]
+    assert {tuple(r) for r in df.collect()} == {(1, "a", None, "train", 0), (2, None, "b", "dev", 1)}
+    spark.createDataFrame([("c",)], "fr string").write.parquet(f"{tmp_path}/c")
+    with pytest.raises(Exception, match="without ord"):
+        R.read_splits(spark, {"train": f"{tmp_path}/c"}).collect()
 
 
 def test_raw_needs_a_schema_unless_parquet(spark, tmp_path):
@@ -63,6 +66,8 @@ def test_corpus_formats(spark, tmp_path):
     array = tmp_path / "array.json"
     array.write_text(json.dumps(records, ensure_ascii=False, indent=2), encoding="utf-8")
     assert rows(R.read_pairs(spark, str(array), "json_array")) == sorted(PAIRS)
+    K.write_array(df.repartition(5), f"{tmp_path}/arrays")
+    assert rows(R.read_pairs(spark, f"{tmp_path}/arrays", "json_array")) == sorted(PAIRS)
 
 
 def test_examples_round_trip_prunes_splits(spark, tmp_path):
@@ -124,6 +129,9 @@ def test_prepare_examples_both_ways(spark):
     whole = prepare_examples(pairs, max_pairs=None)
     counts = {r.split: r["count"] for r in whole.groupBy("split").count().collect()}
     assert counts == {"train": 3 * 1782, "valid": 3 * 99, "test": 3 * 99}
+    assert sorted(r.pos for r in whole.select("pos").collect()) == list(range(3 * 1980))
+    first = [r.pair_id for r in whole.orderBy("pos").limit(30).collect()]
+    assert len(set(first)) > 20
     capped = prepare_examples(pairs, max_pairs=500, split_pairs=False)
     kept = capped.select("pair_id").distinct().count()
     n = capped.count()
