@@ -208,6 +208,39 @@ def failing_factory() -> Callable[[], Callable[[str, int, float], str]]:
     return make
 
 
+def batch_factory() -> Callable[[], Callable[[list[str], list[int], list[float]], list[str]]]:
+    """A model for whole batches that fails on those with a prompt with the letters 'ei'."""
+
+    def make():
+        def answer(prompts: list[str], max_tokens: list[int], temperatures: list[float]) -> list[str]:
+            if any("ei" in prompt for prompt in prompts):
+                raise ValueError("no answer to ei")
+            return prompts
+
+        return answer
+
+    return make
+
+
+def mixed_factory() -> Callable[[], Callable[[str, int, float], str]]:
+    """A model that answers some phrases at length, some shortly or not at all, and fails on others."""
+
+    def make():
+        def answer(prompt: str, max_tokens: int, temperature: float) -> str:
+            phrase = prompt.split("Traduis en Dioula : ")[1].split("<|eot_id|>")[0]
+            if "ei" in phrase:
+                raise ValueError("no answer to ei")
+            if "qu" in phrase:
+                return ""
+            if "sh" in phrase:
+                raise ValueError("no")
+            return "ok" if "an" in phrase else f"a reply to {phrase}"
+
+        return answer
+
+    return make
+
+
 def echo_factory() -> Callable[[], Callable[[str, int, float], str]]:
     """A model that prints the phrase it should translate, like a generation command would."""
 

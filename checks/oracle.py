@@ -145,6 +145,18 @@ _PAIR_SPLIT = (
 )
 _SHARE = _md5_number("md5(concat_ws(chr(31), '42', pair_id))") + " / 4294967296.0::DOUBLE"
 
+_EXAMPLE_ORDER = (
+    "row_number() OVER (ORDER BY md5(concat_ws(chr(31), '42/examples', pair_id, kind)),"
+    " pair_id, kind) - 1 AS pos"
+)
+_LONG_ENOUGH = "length(source) >= 2 AND length(target) >= 2"
+_LOUD = "translate(source, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_FIRST_PAIRS = f"""
+firsts AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY lower(source), lower(target) ORDER BY ord) AS rn
+  FROM ({_ALL})) WHERE rn = 1)
+"""
+
 _LEAKAGE = """
 SELECT count(*) AS n_groups, count(*) FILTER (k > 1) AS n_leaked,
        (count(*) FILTER (k > 1))::DOUBLE / count(*) AS leak_rate
@@ -435,8 +447,37 @@ SELECT ord, source, target, 'fr' AS source_lang, 'dioula' AS target_lang FROM ({
 WITH {_CORPUS} SELECT source, target, source_lang, target_lang FROM corpus""",
     "example_files": f"WITH {_ROW_SPLIT} SELECT prompt, completion, split FROM splits",
     "report_files": f"WITH {_ECHOED}, {_SCORING}, {_TOTALS} {_REPORT}",
+    "report_details": f"""
+WITH {_ECHOED}, {_SCORING}
+SELECT conv_id * 1000 + turn AS item_id, prediction, char_similarity, exact, partial, status
+FROM scored""",
     "smoke_files": """
-SELECT count(*) AS passed, count(*) AS total, 'ready' AS verdict FROM conversations""",
+WITH counts AS (
+  SELECT count(*) FILTER (contains(text, 'ei') OR NOT (contains(text, 'qu') OR contains(text, 'sh')
+                                                       OR contains(text, 'an'))) AS passed,
+         count(*) AS total FROM conversations)
+SELECT passed, total, CASE WHEN passed < total // 2 THEN 'weak' WHEN passed = total THEN 'ready'
+                           ELSE 'good' END AS verdict FROM counts""",
+    "shuffled_examples": f"""
+WITH {_CORPUS}, kept AS (SELECT source, target FROM corpus WHERE {_LONG_ENOUGH}),
+examples AS ({_expanded('kept', '')}),
+ids AS (SELECT DISTINCT pair_id FROM examples), {_placed('ids', 'pair_id')},
+splits AS (SELECT pair_id, {_SPLIT} FROM placed)
+SELECT pair_id, kind, {_EXAMPLE_ORDER}, split FROM examples JOIN splits USING (pair_id)""",
+    "example_copies": f"""
+WITH kept AS (SELECT source, target FROM ({_ALL}) WHERE {_LONG_ENOUGH}),
+examples AS ({_expanded('kept', '')}),
+ranked AS (SELECT kind, {_EXAMPLE_ORDER}, count(*) OVER () AS n FROM examples)
+SELECT split, kind, count(*) AS n_examples FROM (SELECT kind, {_SPLIT} FROM ranked)
+GROUP BY split, kind""",
+    "split_priority": f"""
+WITH {_FIRST_PAIRS}
+SELECT 'plain' AS leader, 'plain' AS split, ord, source, target FROM firsts
+UNION ALL SELECT 'loud', 'loud', ord, {_LOUD}, target FROM firsts""",
+    "corpus_array": f"""
+WITH {_CORPUS} SELECT source, target, source_lang, target_lang FROM corpus""",
+    "corpus_growth": f"""
+WITH {_CORPUS} SELECT lower(source) AS source_key, lower(target) AS target_key FROM corpus""",
     "example_build": f"""
 WITH {_CORPUS}, {_placed('corpus', 'source, target', 'shuffled')},
 kept AS (SELECT source, target FROM shuffled
@@ -467,6 +508,10 @@ WITH {_TRANSLATE_REQUESTS} SELECT request_id, direction, errors FROM checked""",
     "generate_stub": f"""
 SELECT request_id, 'stub 100: ' || lower(text) AS output, true AS success FROM {_TURNS}""",
     "generate_errors": f"""
+SELECT request_id, CASE WHEN NOT contains(text, 'ei') THEN text END AS output,
+       NOT contains(text, 'ei') AS success,
+       CASE WHEN contains(text, 'ei') THEN 'no answer to ei' END AS error FROM {_TURNS}""",
+    "generate_batches": f"""
 SELECT request_id, CASE WHEN NOT contains(text, 'ei') THEN text END AS output,
        NOT contains(text, 'ei') AS success,
        CASE WHEN contains(text, 'ei') THEN 'no answer to ei' END AS error FROM {_TURNS}""",

@@ -72,7 +72,14 @@ from tandem.sources.readers import (
 )
 from tandem.sources.schemas import PAIR
 from tandem.sources.workspace import fresh_path, stage
-from tandem.sources.writers import preview, split_sizes, write_examples, write_pairs, write_raw
+from tandem.sources.writers import (
+    preview,
+    split_sizes,
+    write_array,
+    write_examples,
+    write_pairs,
+    write_raw,
+)
 from tandem.streaming.append import stream_append
 from tandem.streaming.serve import stream_job
 
@@ -264,9 +271,62 @@ def example_build(spark, sf):
     )
 
 
+def shuffled_examples(spark, sf):
+    """The corpus as training examples: a pair's three in one split, all in the seeded order."""
+    corpus = stage(_corpus(spark, sf).select(*PAIR_TEXTS), "corpus")
+    return prepare_examples(corpus, SEED, unique=True).select("pair_id", "kind", "pos", "split")
+
+
+def example_copies(spark, sf):
+    """Examples of all pairs, repeated ones too, split one by one: the sizes are floored exactly."""
+    pairs = stage(R.all_pairs(spark, sf).select(*PAIR_TEXTS), "copies")
+    rows = prepare_examples(pairs, SEED, split_pairs=False)
+    return rows.groupBy("split", "kind").agg(F.count(F.lit(1)).alias("n_examples"))
+
+
 # files
 
 
+def split_priority(spark, sf):
+    """Two splits with the same pairs in different case, in both orders: the first split's row wins."""
+    rows = R.line_pairs(R.table(spark, sf, "documents"))
+    small, large = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    paths = {"plain": fresh_path(spark, "split"), "loud": fresh_path(spark, "split")}
+    write_raw(rows, paths["plain"])
+    write_raw(rows.withColumn("fr", F.translate("fr", small, large)), paths["loud"])
+
+    def winners(*order: str) -> DataFrame:
+        landed = read_splits(spark, {name: paths[name] for name in order})
+        pairs = to_pairs(landed, "fr", "transcription", keep=["split", "split_ord", "ord"])
+        return build_corpus([("hub", pairs)]).select(
+            F.lit(order[0]).alias("leader"), "split", "ord", "source", "target"
+        )
+
+    return winners("plain", "loud").unionByName(winners("loud", "plain"))
+
+
+def corpus_array(spark, sf):
+    """The corpus written as JSON arrays and read back."""
+    path = fresh_path(spark, "corpus")
+    write_array(_corpus(spark, sf), path)
+    return read_pairs(spark, path, "json_array")
+
+
+def report_details(spark, sf):
+    """The table of items that a report leaves beside its summary."""
+    items, path = fresh_path(spark, "items"), fresh_path(spark, "report")
+    pairs = R.turn_pairs(spark, sf).select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"),
+        F.col("source").alias("fr"),
+        F.col("target").alias("dioula"),
+    )
+    write_raw(pairs, items, "json")
+    publish(run_benchmark(read_benchmark(spark, items), R.echo_factory()), path)
+    return spark.read.parquet(f"{path}/details").select(
+        "item_id", "prediction", "char_similarity", "exact", "partial", "status"
+    )
+
+
 def split_files(spark, sf):
     """Documents landed as two named splits, read back as nullable sides and cleaned."""
     labelled = R.table(spark, sf, "labels").select("doc_id")
@@ -333,7 +393,7 @@ def smoke_files(spark, sf):
         F.concat(F.lit("Traduis en Dioula : "), F.col("text")).alias("prompt"),
     )
     write_raw(cases, path, "json")
-    return run_smoke(read_cases(spark, path), R.echo_factory())
+    return run_smoke(read_cases(spark, path), R.mixed_factory())
 
 
 # language, intent, clean-up
@@ -406,6 +466,16 @@ def generate_errors(spark, sf):
     )
 
 
+def generate_batches(spark, sf):
+    """A model that takes whole batches and fails on some: rows are then tried one by one."""
+    turns = R.user_turns(R.table(spark, sf, "conversations")).select(
+        "request_id", F.col("text").alias("prompt"),
+        F.lit(100).alias("max_tokens"), F.lit(0.3).alias("temperature"),
+    )
+    replies = generate(turns, R.batch_factory(), batched=True)
+    return replies.select("request_id", "generated.*").drop("latence_ms")
+
+
 def rejected_requests(spark, sf):
     chats = rejected(validate_chat(R.chat_requests(R.table(spark, sf, "conversations"))))
     return chats.select("request_id", F.concat_ws(",", "errors").alias("errors"))
@@ -476,6 +546,22 @@ def corpus_stream(spark, sf):
     return spark.read.schema(pairs.schema).parquet(path).select("ord", *PAIR_TEXTS)
 
 
+def corpus_growth(spark, sf):
+    """A written corpus of curated pairs, grown by all documents in three batches or more; its keys."""
+    landed, path = fresh_path(spark, "landed"), fresh_path(spark, "corpus")
+    documents = R.table(spark, sf, "documents").select(*R.DOCUMENT.names)
+    for part in range(3):
+        arrived = documents.filter(F.col("doc_id") % 3 == part)
+        arrived.write.mode("append").parquet(landed)
+    write_pairs(build_corpus([("curated", R.curated_pairs(spark, sf))]), path)
+    rows = spark.readStream.schema(R.DOCUMENT).option("maxFilesPerTrigger", 1).parquet(landed)
+    pairs = R.document_pairs(rows)
+    stream_append(pairs, path, fresh_path(spark, "checkpoint")).awaitTermination()
+    return spark.read.schema(PAIR).parquet(path).select(
+        F.lower("source").alias("source_key"), F.lower("target").alias("target_key")
+    )
+
+
 def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Run a streaming frame into a folder and read that back."""
     path = fresh_path(spark, "replies")
@@ -508,7 +594,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         examples, text_modes, render, length_budget_report,
         shuffle, shuffle_copies, cap_pairs, cap_copies, split_rows, split_by_position,
         split_pairs, split_threshold, leakage_rows, leakage_pairs, split_report, split_totals,
-        preview_raw, preview_shuffled, example_build,
+        preview_raw, preview_shuffled, example_build, shuffled_examples, example_copies,
+        split_priority, corpus_array, report_details, generate_batches, corpus_growth,
         split_files, raw_files, seed_files, corpus_files, example_files, report_files, smoke_files,
         language, language_confusion, intent, output_cleanup,
         chat_validation, translate_validation, generate_stub, generate_errors,
