@@ -23,8 +23,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and keep enough words without their hosts' common lines."""
-    return line_quality.keep_documents(docs.select(*COLUMNS))
+    """Documents that pass the base rules and keep enough words without their hosts' common lines, and
+    without these lines; ``n_chars`` is counted anew."""
+    kept = line_quality.keep_documents(docs.select(*COLUMNS))
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -106,7 +106,8 @@ def document_lines(docs: DataFrame, host: str) -> DataFrame:
 
 
 def frequent_words(docs: DataFrame, host: str, most_documents: int) -> DataFrame:
-    """(in_doc, in_version, n_words, n_frequent_words) of the texts that have lines over the limit."""
+    """(in_doc, in_version, n_words, n_frequent_words, places) of the texts that have lines over the
+    limit; ``places`` are those of the lines in the text."""
     lines = document_lines(docs, host)
     texts = lines.select("line", "version").distinct().groupBy("line").agg(F.count("*").alias("texts"))
     frequent = texts.filter(F.col("texts") > most_documents).select("line")
@@ -114,7 +115,10 @@ def frequent_words(docs: DataFrame, host: str, most_documents: int) -> DataFrame
         lines.join(frequent, "line")
         .groupBy("doc_id", "version", "at").agg(F.max("n").alias("n"), F.max("of").alias("of"))
         .groupBy(F.col("doc_id").alias("in_doc"), F.col("version").alias("in_version"))
-        .agg(F.max("of").alias("n_words"), F.sum("n").cast("long").alias("n_frequent_words"))
+        .agg(
+            F.max("of").alias("n_words"), F.sum("n").cast("long").alias("n_frequent_words"),
+            F.collect_list("at").alias("places"),
+        )
     )
 
 
@@ -128,6 +132,16 @@ def depleted(n_words: Column, n_frequent: Column, least_left: int) -> Column:
     return 100 * (n_words - n_frequent) < least_left * n_words
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without the lines at ``places``; the others as they are, in order."""
+
+    def left(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        return F.transform(F.array_except(every, places), lambda k: F.get(lines, k))
+
+    return F.array_join(let(F.split(text, "\n"), left), "\n")
+
+
 def quality_rules(
     docs: DataFrame,
     host: str = "source",
@@ -146,7 +160,7 @@ def quality_rules(
     text are judged once and all returned. Columns other than doc_id, text and host are not read.
     Window and line hashes have 64 bits.
     """
-    removed = frequent_words(docs, host, most_documents).drop("n_words")
+    removed = frequent_words(docs, host, most_documents).drop("n_words", "places")
     base = docs.select(
         "doc_id", F.xxhash64("text", host).alias("version"), base_counts(F.col("text")).alias("base")
     )
@@ -166,17 +180,29 @@ def keep_documents(
     most_documents: int = MOST_DOCUMENTS,
     least_left: int = LEAST_LEFT,
 ) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever their names.
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns, whatever their names;
+    ``text`` is without the lines over the limit.
 
-    The base rules filter in place; only the keys of depleted documents are joined.
+    The base rules filter in place; the keys of texts with such lines are joined, with the places of
+    the lines. Lines that stay are not changed, nor are texts that have none over the limit.
     """
-    gone = frequent_words(docs, host, most_documents).filter(
-        depleted(F.col("n_words"), F.col("n_frequent_words"), least_left)
+    found = frequent_words(docs, host, most_documents).withColumn(
+        "gone", depleted(F.col("n_words"), F.col("n_frequent_words"), least_left)
+    )
+    # A text that goes as a whole needs no places.
+    found = found.select(
+        "in_doc", "in_version", "gone", F.when(~F.col("gone"), F.col("places")).alias("places")
     )
     rows = docs.select(F.struct(*docs.columns).alias("doc"))
     row = rows.withColumn("version", F.xxhash64("doc.text", f"doc.{host}"))
     same = F.col("doc.doc_id").eqNullSafe(F.col("in_doc")) & (F.col("version") == F.col("in_version"))
     base = base_counts(F.col("doc.text"))
-    return (
-        row.filter(~let(base, base_fails)).join(gone, same, "left_anti").select("doc.*")
+    text = F.when(F.col("places").isNull(), F.col("doc.text")).otherwise(
+        without_lines(F.col("doc.text"), F.col("places"))
+    )
+    kept = row.filter(~let(base, base_fails)).join(found, same, "left").filter(
+        ~F.coalesce(F.col("gone"), F.lit(False))
+    )
+    return kept.select(
+        *[text.alias(c) if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns]
     )

@@ -128,6 +128,18 @@ def test_depleted_documents_go(spark):
     assert [r.doc_id for r in line_quality.keep_documents(df).collect()] == [99]
 
 
+def test_lines_over_the_limit_are_removed(spark):
+    rows = [(i, f"{prose(i)}\n\nCommon LINE 7\n {prose(900 + i, 9)} \ncommon line 8 \n", "h") for i in range(22)]
+    rows += [(50, f"{prose(50)}\ncommon line 1\n", "other"), (0, rows[0][1], "h"), (None, rows[3][1], "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    expected = [
+        (i, "\n".join(x for x in t.split("\n") if h == "other" or not x.lower().startswith("common")), h)
+        for i, t, h in rows
+    ]
+    assert result(line_quality.keep_documents(df)) == ordered(expected)
+    assert result(line_quality.keep_documents(df, most_documents=22)) == ordered(rows)
+
+
 # 4
 
 
