@@ -254,32 +254,36 @@ def unimportant(
     """(host, cut): the paths of each host's style tree that are of low importance.
 
     With m pages that have a node, importance is the entropy, to base m, of how they share its
-    presentations, and the same of its contents, weighed by ``gamma``. The tree is merged by grouped
-    counts, so a host of any number of pages is spread; a host's list has a path for each element of
-    its templates at most, as names are compared without digits.
+    presentations, and the same of its contents, weighed by ``gamma``. Rows of a host with equal html
+    are one page: they are folded by its SHA-1, in every task first, when only hashes of their nodes
+    are left. The tree is merged by grouped counts, so a host of any number of pages is spread; a
+    host's list has a path for each element of its templates at most, as names are compared without
+    digits.
     """
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, kinds, values = [], [], [], []
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for path, (presentation, content) in style_nodes(parse(page)).items():
-                    hosts += [h, h]
-                    paths += [path, path]
-                    kinds += [0, 1]
-                    values += [presentation, content]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(hosts, pa.string()), pa.array(paths, pa.int64()),
-                    pa.array(kinds, pa.int32()), pa.array(values, pa.int64()),
-                ],
-                names=["host", "path", "kind", "value"],
-            )
-
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(
-        nodes, "host string, path long, kind int, value long"
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                found = [
+                    [{"path": p, "presentation": a, "content": b} for p, (a, b) in style_nodes(parse(x)).items()]
+                    for x in some.column(2).to_pylist()
+                ]
+                kind = pa.struct([("path", pa.int64()), ("presentation", pa.int64()), ("content", pa.int64())])
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(found, pa.list_(kind))],
+                    names=["host", "page", "nodes"],
+                )
+
+    seen = pages.select(host(F.col("url")).alias("host"), F.sha1("html").alias("page"), "html").mapInArrow(
+        nodes,
+        "host string, page string, nodes array<struct<path: long, presentation: long, content: long>>",
+    )
+    each = seen.dropDuplicates(["host", "page"]).select("host", F.explode("nodes").alias("node")).select(
+        "host", "node.path",
+        F.posexplode(F.array("node.presentation", "node.content")).alias("kind", "value"),
     )
-    counts = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
+    counts = each.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
     c = F.col("c").cast("double")
     entropy = counts.groupBy("host", "path", "kind").agg(
         F.sum("c").alias("m"), F.sum(c * F.log(c)).alias("clogc")

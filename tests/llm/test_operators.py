@@ -286,6 +286,21 @@ def test_style_trees_cut_what_pages_share(spark):
     assert got[51] == "" and got[52] == ""
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    page = "<html><body><div class=text><p>Story {0}</p><table><tr><td>cell {0}</table></div></body></html>"
+    rows = [(i, "http://mirror.example/a", page.format("one")) for i in range(20)]
+    rows += [(100 + i, f"http://mirror.example/{i}", page.format(i)) for i in range(5)]
+    rows += [(200 + i, f"http://only.example/{i}", page.format("two")) for i in range(20)]
+    rows += [(300 + i, f"http://more.example/{i % 6}", page.format(i % 6).replace("cell", "<p>Ours</p>")) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in style_tree.extract(df).collect()}
+    assert len(got) == len(rows)
+    assert all(got[i] == "Story one\ncell one" for i in range(20))
+    assert all(got[100 + i] == f"Story {i}\ncell {i}" for i in range(5))
+    assert all(got[200 + i] == "Story two\ncell two" for i in range(20))
+    assert all(got[300 + i] == f"Story {i % 6}\n{i % 6}" for i in range(60))
+
+
 @pytest.mark.parametrize("page, text", [
     ("<article>a<script>x</p></script> b<p>c<br>d<p>e &eacute;&#x41;", "a b\nc d\ne éA"),
     ("<main><header><h1>T</h1></header><p>x</p><aside>no</aside></main><footer>f</footer>", "T\nx"),
