@@ -207,6 +207,12 @@ def test_classifier(spark, docs):
         assert r.score == 0.5 and r.predicted == 1
 
 
+def test_the_most_repeated_word_is_of_the_whole_text():
+    for n in (10, 4996, 4997, 9000):
+        assert classifier.statistics("a b c " + "spam " * n)[7] == n / (n + 3)
+    assert classifier.statistics("")[7] == 0 and classifier.statistics("one two")[7] == 0.5
+
+
 def test_isotonic():
     assert classifier.isotonic(np.array([1, 0, 2, 3.0]), np.array([2, 2, 2, 3.0])).tolist() == [0.25, 0.25, 1, 1]
 
