@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.llm import classifier, curriculum, line_quality, pieces, shingle_join
-from tandem.llm.common import table
+from tandem.llm.common import table, word_count
 from tandem.sources.workspace import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,12 +32,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id.
 
-    Near copies share 80 % of their shingles of five words. Rows without words are near no other and
-    stay, as does a row without doc_id that is in no group with one.
+    Near copies share 80 % of their shingles of five words. Rows are told apart by doc_id and a hash of
+    their columns: of rows that share a doc_id only those in a group with a smaller one go, of equal
+    rows one stays, and a row without doc_id stays if it is the only one of its group, or the one with
+    the smallest hash in a group without any. Rows without words are near no other and stay.
     """
-    groups = shingle_join.jaccard_components(docs, size=5, percent=80)
-    gone = stage(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    values = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*values).alias("version"))
+    rows = docs.select(*COLUMNS, row.alias("row"))
+    groups = stage(
+        shingle_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), size=5, percent=80),
+        "groups",
+    )
+    gone = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("row")).distinct()
+    again = stage(
+        groups.filter("n_shingles > 0 and doc_id = component_id").groupBy(F.col("doc_id").alias("row"))
+        .count().filter("count > 1").select("row"),
+        "again",
+    )
+    kept = rows.join(stage(gone, "copies"), "row", "left_anti")
+    if not again.isEmpty():
+        # Equal rows are folded in every task before they are dealt out.
+        wordless = word_count(F.col("text")) == 0
+        kept = kept.filter(wordless).unionByName(kept.filter(~wordless).dropDuplicates(["row"]))
+    return kept.select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
