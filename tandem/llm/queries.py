@@ -67,7 +67,7 @@ def op9_style_tree(spark: SparkSession, sf: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = fresh_path(spark, "warc")
     warc.write_pages(table(spark, sf, "pages"), folder)
-    found = warc.read_records(spark, folder, payload=False)
+    found = warc.read_records(spark, folder, payload=False, verify=True)
     return found.select(
         warc.page_of(F.col("record_id")).alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),

@@ -6,7 +6,8 @@
 Files are packed into partitions of about equal size. A record's headers are parsed first; if its
 type or a header is not wanted, the reader seeks past the payload. Wanted values come from pushed
 filters on ``record_type`` and the named headers (with ``spark.sql.python.filterPushdown.enabled``),
-or from the options ``types`` and ``payload=false``.
+or from the options ``types`` and ``payload=false``. With ``verify=true`` payloads are read and held
+against their headers, also if they are not returned.
 """
 
 from __future__ import annotations
@@ -62,6 +63,14 @@ def records(file, wanted=None, payload: bool = True) -> Iterator[tuple[dict[str,
     ``wanted(headers)`` decides before the payload is touched; what is not wanted, and every payload
     if they are not asked for, is passed over by a seek. A file that is cut short raises an error.
     """
+    start = file.tell()
+    size = file.seek(0, io.SEEK_END)
+    file.seek(start)
+
+    def skip(n: int) -> None:
+        if file.seek(n, io.SEEK_CUR) > size:
+            raise ValueError("payload cut short")
+
     while True:
         line = file.readline()
         while line in (b"\r\n", b"\n"):
@@ -78,7 +87,7 @@ def records(file, wanted=None, payload: bool = True) -> Iterator[tuple[dict[str,
             headers[key.strip().lower()] = value.strip()
         n = int(headers["content-length"])
         if wanted is not None and not wanted(headers):
-            file.seek(n, io.SEEK_CUR)
+            skip(n)
             continue
         if payload:
             data = file.read(n)
@@ -86,10 +95,19 @@ def records(file, wanted=None, payload: bool = True) -> Iterator[tuple[dict[str,
                 raise ValueError("payload cut short")
         else:
             data = None
-            file.seek(n, io.SEEK_CUR)
+            skip(n)
         yield headers, n, data
 
 
+def verify(headers: dict[str, str], payload: bytes) -> None:
+    """Raises an error if a response's payload does not have the length and SHA-1 of its headers."""
+    if headers.get("warc-type") == "response" and (
+        headers.get(LENGTH) != str(len(payload))
+        or headers.get("warc-payload-digest") != f"sha1:{digest(payload)}"
+    ):
+        raise ValueError(f"payload of {headers.get('warc-record-id')} is not that of its headers")
+
+
 class Files(InputPartition):
     """The archives that one task reads."""
 
@@ -102,6 +120,7 @@ class WarcReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder = options["path"]
         self.payload = options.get("payload", "true").lower() != "false"
+        self.verify = options.get("verify", "false").lower() == "true"
         types = options.get("types")
         self.wanted: list[tuple[str, frozenset[str]]] = (
             [("warc-type", frozenset(types.split(",")))] if types else []
@@ -141,7 +160,11 @@ class WarcReader(DataSourceReader):
         rows, held = [], 0
         for path in partition.paths if partition else ():
             with system.open_input_file(path) as raw, io.BufferedReader(raw, 1 << 16) as file:
-                for headers, n, data in records(file, wanted, self.payload):
+                for headers, n, data in records(file, wanted, self.payload or self.verify):
+                    if self.verify:
+                        verify(headers, data)
+                    if not self.payload:
+                        data = None
                     length = headers.get(LENGTH)
                     rows.append({
                         **{c: headers.get(h) for c, h in HEADERS.items()},
@@ -274,14 +297,20 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFram
     return stage(both.mapInArrow(write, "path string, records long, bytes long"), "archives")
 
 
-def read_records(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
-    """The response and revisit records of a folder of archives; other types are passed over."""
+def read_records(
+    spark: SparkSession, folder: str, payload: bool = True, verify: bool = False
+) -> DataFrame:
+    """The response and revisit records of a folder of archives; other types are passed over.
+
+    With ``verify`` a response whose payload has another length or SHA-1 than its headers say is an
+    error.
+    """
     spark.dataSource.register(WarcSource)
     # Spark asks Python sources for filters only if told so.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return (
         spark.read.format("warc").option("path", folder).option("types", "response,revisit")
-        .option("payload", str(payload).lower()).load()
+        .option("payload", str(payload).lower()).option("verify", str(verify).lower()).load()
     )
 
 

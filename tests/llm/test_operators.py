@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+from pathlib import Path
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -340,6 +343,23 @@ def test_archives(spark, tmp_path):
     assert revisits.count() == sum(r.record_type == "revisit" for r in found)
 
 
+def test_damaged_archives_are_errors(spark, monkeypatch):
+    def damaged(pages, folder, write=warc.write_pages):
+        write(pages, folder)
+        path = sorted(Path(folder.removeprefix("file:")).glob("*.warc"))[0]
+        data = path.read_bytes()
+        path.write_bytes(data.replace(b"<html", b"<hTml", 1))
+
+    monkeypatch.setattr(warc, "write_pages", damaged)
+    with pytest.raises(Exception, match="not that of its headers"):
+        queries.op10_warc(spark, SMALL).collect()
+    whole = warc.record([("WARC-Type", "response")], b"payload")
+    assert [n for _, n, _ in warc.records(io.BytesIO(whole * 2), payload=False)] == [7, 7]
+    for wanted in (None, lambda headers: False):
+        with pytest.raises(ValueError, match="cut short"):
+            list(warc.records(io.BytesIO(whole + whole[:-6]), wanted, payload=False))
+
+
 # all
 
 
