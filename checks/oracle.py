@@ -262,6 +262,9 @@ checked AS (SELECT request_id, texte, coalesce(given, 'fr_to_dioula') AS directi
 """
 
 
+_SERVING = V.SERVING_PROMPT.replace("{name}", V.ASSISTANT_NAME)
+
+
 def _stub(max_tokens: str, prompt: str) -> str:
     reply = f"'stub ' || {max_tokens} || ': ' || lower({prompt})"
     return _strip(f"replace(replace({reply}, '<|eot_id|>', ''), '<|end_of_text|>', '')")
@@ -269,7 +272,7 @@ def _stub(max_tokens: str, prompt: str) -> str:
 
 _CHAT = f"""
 WITH {_CHAT_REQUESTS},
-replies AS (SELECT *, {_stub('max_tokens', _prompt('message', V.SERVING_PROMPT))} AS reponse
+replies AS (SELECT *, {_stub('max_tokens', _prompt('message', _SERVING))} AS reponse
             FROM checked WHERE errors = '')
 SELECT request_id, true AS success, session_id, reponse,
        {_language('message')} AS langue_detectee, {_language('reponse')} AS langue_reponse,
@@ -284,7 +287,7 @@ directed AS (SELECT *,
                  ELSE {_fill(V.REVERSE_REQUEST, 'texte')} END AS message
   FROM checked WHERE errors = '')
 SELECT request_id, true AS success, texte AS texte_original,
-       {_stub('256', _prompt('message', V.SERVING_PROMPT))} AS traduction, direction,
+       {_stub('256', _prompt('message', _SERVING))} AS traduction, direction,
        CASE direction WHEN 'fr_to_dioula' THEN 'français' ELSE 'dioula' END AS langue_source,
        CASE direction WHEN 'fr_to_dioula' THEN 'dioula' ELSE 'français' END AS langue_cible
 FROM directed

@@ -19,15 +19,16 @@ END_OF_TURN = "<|eot_id|>"
 END_OF_TEXT = "<|end_of_text|>"
 ASSISTANT_MARKER = "<|start_header_id|>assistant<|end_header_id|>"
 
-# Prompt texts. {text} is the place of the phrase.
+# Prompt texts. {text} is the place of the phrase, {name} that of the assistant's name.
 SYSTEM_PROMPT = (
     "Tu es un assistant expert en langue Dioula (Jula), "
     "parlée en Côte d'Ivoire et au Burkina Faso. "
     "Tu peux traduire entre le français et le Dioula, "
     "et converser naturellement dans les deux langues."
 )
+ASSISTANT_NAME = "Tandem"
 SERVING_PROMPT = (
-    "Tu es Dioula-AI, un assistant expert en langue Dioula (Jula), "
+    "Tu es {name}, un assistant expert en langue Dioula (Jula), "
     "parlée en Côte d'Ivoire et au Burkina Faso. "
     "Tu peux traduire entre le français et le Dioula, "
     "et converser naturellement dans les deux langues. "

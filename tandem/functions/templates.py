@@ -51,6 +51,11 @@ def chat_prompt(user: Column | Sequence[str | Column], system: str = V.SYSTEM_PR
     ])
 
 
+def serving_prompt(name: str = V.ASSISTANT_NAME) -> str:
+    """The system text of a served model that goes by the given name."""
+    return V.SERVING_PROMPT.replace("{name}", name)
+
+
 def chat_turn(role: Column, text: Column) -> Column:
     """One closed turn of a conversation."""
     return _concat(_turn(role, [text]))

@@ -2,6 +2,7 @@
 
 Both are one chain of narrow steps, so the same function serves a batch and a streaming frame.
 Requests that fail validation are left out here; ``rejected(validate_...(requests))`` lists them.
+Without a ``system`` text of their own they send ``serving_prompt()``, which names the assistant.
 With ``batched`` the model takes whole batches, as ``generate`` describes.
 """
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as V
 from tandem.functions.detect import detect_language, drop_special_tokens, intent_mode
-from tandem.functions.templates import chat_prompt
+from tandem.functions.templates import chat_prompt, serving_prompt
 from tandem.operators.generate import BatchGenerator, Generator, generate
 from tandem.operators.requests import (
     accepted,
@@ -30,12 +31,12 @@ def chat_job(
     requests: DataFrame,
     make_generator: Callable[[], Generator | BatchGenerator],
     model_name: str = "model",
-    system: str = V.SERVING_PROMPT,
+    system: str | None = None,
     batched: bool = False,
 ) -> DataFrame:
     """Replies to (request_id, message, session_id, max_tokens, temperature)."""
     filled = fill_chat_defaults(accepted(validate_chat(requests)))
-    prompted = filled.withColumn("prompt", chat_prompt(F.col("message"), system))
+    prompted = filled.withColumn("prompt", chat_prompt(F.col("message"), system or serving_prompt()))
     answered = generate(prompted, make_generator, batched).withColumn(
         "reponse", drop_special_tokens(F.col("generated.output"))
     )
@@ -58,13 +59,13 @@ def chat_job(
 def translate_job(
     requests: DataFrame,
     make_generator: Callable[[], Generator | BatchGenerator],
-    system: str = V.SERVING_PROMPT,
+    system: str | None = None,
     batched: bool = False,
 ) -> DataFrame:
     """Translations of (request_id, texte, direction)."""
     directed = direction_request(fill_translate_defaults(accepted(validate_translate(requests))))
     prompted = directed.withColumns({
-        "prompt": chat_prompt(F.col("message"), system),
+        "prompt": chat_prompt(F.col("message"), system or serving_prompt()),
         "max_tokens": F.lit(V.TRANSLATE_MAX_TOKENS),
         "temperature": F.lit(V.TRANSLATE_TEMPERATURE),
     })

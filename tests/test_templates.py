@@ -81,3 +81,9 @@ def test_length_budget(spark):
     assert (rows["b"].n_examples, rows["b"].n_over, rows["b"].max_tokens) == (1, 0, 0)
     custom = length_budget(df, 4, F.length("text"))
     assert custom.filter("over_limit").count() == 1
+
+
+def test_serving_prompt_names_the_assistant():
+    text = P.serving_prompt("{x}")
+    assert text.startswith("Tu es {x}, un assistant expert") and "{name}" not in text
+    assert P.serving_prompt() == P.serving_prompt(V.ASSISTANT_NAME)
