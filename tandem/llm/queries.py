@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandem.llm import bitplanes, classifier, curriculum, line_quality, pieces, sharding, shingle_join
-from tandem.llm import style_tree, topk, warc
+from tandem.llm import bitplanes, classifier, curriculum, line_quality, merge_tree, pieces, runs, sharding
+from tandem.llm import shingle_join, style_tree, topk, warc, whitening
 from tandem.llm.common import table
 from tandem.sources.workspace import fresh_path
 
@@ -77,10 +77,28 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_merge_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids by joins of halves, then their bytes. Null and empty texts: no ids, the digests of nothing."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = merge_tree.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN)
+    return merge_tree.decode(ids, ranks).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_chebyshev_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+def op13_tiled_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.find_runs(table(spark, sf, "documents"), runs.planted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_curriculum, op2_jump_hash, op3_line_frequency, op4_bit_planes, op5_sentencepiece,
         op6_fourier_quality, op7_uniform_threshold, op8_shingle_join, op9_style_tree, op10_warc,
+        op11_merge_tree, op12_chebyshev_whitening, op13_tiled_runs,
     )
 }

@@ -8,6 +8,7 @@ import html
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 
@@ -160,3 +161,41 @@ def article(page):
 
 def crc_ids(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def planted(doc_id, w):
+    """The words with the passage that every tenth document repeats."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w):
+    """(start, length, period) of every run, each period tried at each place."""
+    found = {}
+    for p in range(1, len(w) // 3 + 1):
+        i = 0
+        while i + p < len(w):
+            j = i
+            while j + p < len(w) and w[j] == w[j + p]:
+                j += 1
+            if j - i + p >= max(24, 3 * p):
+                found.setdefault((i, j - i + p), p)
+            i = max(j, i + 1)
+    return sorted((s, n, p) for (s, n), p in found.items())
+
+
+def run_row(doc_id, w):
+    found = sorted(runs(w), key=lambda r: (r[0], r[2]))
+    best = min(found, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None,) * 3)
+    gone = {i for s, n, p in found for i in range(s + p, s + n)}
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    listed = "".join(f"{s},{n},{p}\n" for s, n, p in found)
+    return (
+        doc_id, len(found), *best, 1000 * best[1] // best[2] if found else None,
+        hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest(),
+    )
