@@ -34,6 +34,10 @@ def tree():
     return merge_tree.MergeTree(merge_tree.read_ranks(RANKS))
 
 
+def ids_of(tree, text):
+    return np.frombuffer(merge_tree.Texts(tree, public_tokenizers.PATTERN)([text])[0], np.int32).tolist()
+
+
 def encoded(library, doc_id, text):
     ids = library.encode_ordinary(text or "")
     digest = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
@@ -62,7 +66,23 @@ def test_no_documents_no_ids(docs):  # noqa: F811
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="abé中文字ɛ=-1 \n'", max_size=300))
 def test_any_text_equals_the_library(library, tree, text):
-    assert merge_tree.Texts(tree, public_tokenizers.PATTERN)([text])[0] == library.encode_ordinary(text)
+    assert ids_of(tree, text) == library.encode_ordinary(text)
+
+
+def test_blocks_are_put_together(tree):
+    strings = [b"", b"a", b"bc", b"def"]
+    draw = random.Random(1)
+    for block in (1, 2, 5, 1 << 16):
+        for counts in ([], [0], [0, 0, 3], [3, 0, 4, 0], [draw.randint(0, 9) for _ in range(30)]):
+            ids = [draw.randrange(4) for _ in range(sum(counts))]
+            rest, want = list(ids), []
+            for n in counts:
+                want.append(b"".join(strings[i] for i in rest[:n]))
+                rest = rest[n:]
+            old, merge_tree.BLOCK = merge_tree.BLOCK, block
+            got = merge_tree.put_together(strings, np.array(ids, np.int32), np.cumsum(np.array(counts, int)))
+            merge_tree.BLOCK = old
+            assert got == want
 
 
 @settings(max_examples=150, deadline=None)
@@ -75,7 +95,7 @@ def test_long_matches(library, tree):
     draw = random.Random(3)
     long = ["a" * 100_000, "中" * 50_000, "=-" * 40_000, "".join(draw.choice("中文字学生活大小ɛɔ") for _ in range(50_000))]
     for text in long:
-        assert merge_tree.Texts(tree, public_tokenizers.PATTERN)([text])[0] == library.encode_ordinary(text)
+        assert ids_of(tree, text) == library.encode_ordinary(text)
 
 
 def test_workers_keep_a_bounded_table_of_words(tree, monkeypatch):
@@ -83,7 +103,7 @@ def test_workers_keep_a_bounded_table_of_words(tree, monkeypatch):
     encode = merge_tree.Texts(tree, public_tokenizers.PATTERN)
     texts = [prose(k, 30) for k in range(20)]
     assert [encode([t])[0] for t in texts] == [merge_tree.Texts(tree, public_tokenizers.PATTERN)([t])[0] for t in texts]
-    assert len(encode.words) + len(encode.older) < 40 + 2 * 60
+    assert len(encode.after) + len(encode.older) < 40 + 2 * 60 and len(encode.bare) <= 20
 
 
 # 12
