@@ -157,6 +157,42 @@ firsts AS (SELECT * FROM (
   FROM ({_ALL})) WHERE rn = 1)
 """
 
+#: Labels sink along the edges until none changes. Keys are digests of the sides.
+_GROUPS = f"""
+RECURSIVE pairs AS MATERIALIZED (
+  SELECT *, md5('source:' || lower(source)) AS s, md5('target:' || lower(target)) AS t FROM ({_ALL})),
+links AS MATERIALIZED (SELECT DISTINCT s AS a, t AS b FROM pairs UNION SELECT DISTINCT t, s FROM pairs),
+reached(node, least) USING KEY (node) AS (
+  SELECT a, a FROM (SELECT DISTINCT a FROM links)
+  UNION
+  SELECT links.b, min(reached.least) FROM reached JOIN links ON links.a = reached.node
+  JOIN recurring.reached AS before ON before.node = links.b
+  WHERE reached.least < before.least GROUP BY links.b),
+grouped AS MATERIALIZED (SELECT ord, source, target, s, t, least AS group_id FROM pairs JOIN reached ON node = s),
+sized AS (SELECT group_id, count(*) AS k, sum(count(*)) OVER ()::DOUBLE AS total FROM grouped GROUP BY group_id),
+floored AS (SELECT *, floor(total * 0.9::DOUBLE) AS valid_at,
+                   floor(total * 0.9::DOUBLE) + floor(total * 0.05::DOUBLE) AS test_at FROM sized),
+ranked AS (SELECT *, least(CASE WHEN test_at > valid_at THEN test_at - valid_at END,
+                           CASE WHEN total > test_at THEN total - test_at END, total) AS most FROM floored),
+laid AS (
+  SELECT *, coalesce(sum(k) OVER (
+    ORDER BY k > most DESC, CASE WHEN k > most THEN -k ELSE 0 END,
+             CASE WHEN k > most THEN '' ELSE md5(concat_ws(chr(31), '42', group_id)) END, group_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM ranked),
+dealt AS (SELECT group_id, CASE WHEN start < valid_at THEN 'train' WHEN start < test_at THEN 'valid'
+                                ELSE 'test' END AS split FROM laid)
+"""
+
+
+def _side_leakage(drawn_by: str, rows: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{side}' AS side, count(*) AS n_texts, count(*) FILTER (n > 1) AS n_leaked,"
+        f" (count(*) FILTER (n > 1))::DOUBLE / count(*) AS leak_rate, '{drawn_by}' AS drawn_by"
+        f" FROM (SELECT lower({side}), count(DISTINCT split) AS n FROM {rows} GROUP BY 1)"
+        for side in ("source", "target")
+    )
+
+
 _LEAKAGE = """
 SELECT count(*) AS n_groups, count(*) FILTER (k > 1) AS n_leaked,
        (count(*) FILTER (k > 1))::DOUBLE / count(*) AS leak_rate
@@ -429,6 +465,14 @@ SELECT conv_id, turn, kind,
 FROM examples""",
     "leakage_rows": f"WITH {_ROW_SPLIT} {_LEAKAGE}",
     "leakage_pairs": f"WITH {_PAIR_SPLIT} {_LEAKAGE}",
+    "side_groups": f"WITH {_GROUPS} SELECT ord, group_id, split FROM grouped JOIN dealt USING (group_id)",
+    "leakage_sides": f"""
+WITH {_GROUPS},
+by_group AS (SELECT source, target, split FROM grouped JOIN dealt USING (group_id)),
+named AS (SELECT *, md5(length(source) || ':' || source || length(target) || ':' || target) AS pair_id FROM grouped),
+ids AS (SELECT DISTINCT pair_id FROM named), {_placed('ids', 'pair_id')},
+by_pair AS (SELECT source, target, split FROM named JOIN (SELECT pair_id, {_SPLIT} FROM placed) USING (pair_id))
+{_side_leakage('pair', 'by_pair')} UNION ALL {_side_leakage('group', 'by_group')}""",
     "split_report": f"""
 WITH {_ROW_SPLIT}, sized AS (
   SELECT split, {_json_bytes('prompt')} + {_json_bytes('completion')} + {_LINE} AS b FROM splits)

@@ -26,6 +26,7 @@ from tandem.operators.examples import (
     with_text,
 )
 from tandem.operators.generate import generate
+from tandem.operators.groups import leakage_by_side, split_groups, with_group
 from tandem.operators.pairs import (
     coverage,
     coverage_rate,
@@ -244,6 +245,25 @@ def leakage_pairs(spark, sf):
     return leakage(split(_staged_examples(spark, sf), seed=SEED, by=["pair_id"]))
 
 
+def _grouped_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """All line pairs of the documents with the group they are linked to."""
+    pairs = stage(R.all_pairs(spark, sf).select("ord", "source", "target"), "pairs")
+    return stage(with_group(pairs), "grouped")
+
+
+def side_groups(spark, sf):
+    """Splits of whole groups: pairs that share a source or a target are in one."""
+    return split_groups(_grouped_pairs(spark, sf), seed=SEED).select("ord", "group_id", "split")
+
+
+def leakage_sides(spark, sf):
+    """Sources and targets in more than one split: drawn by pair, and by group."""
+    pairs = with_pair_id(_grouped_pairs(spark, sf))
+    by_pair = leakage_by_side(split(pairs, seed=SEED, by=["pair_id"]))
+    by_group = leakage_by_side(split_groups(pairs, seed=SEED))
+    return by_pair.withColumn("drawn_by", F.lit("pair")).unionByName(by_group.withColumn("drawn_by", F.lit("group")))
+
+
 def split_report(spark, sf):
     return split_sizes(_example_splits(spark, sf))
 
@@ -593,6 +613,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         benchmark_coverage, benchmark_coverage_rate, text_measures,
         examples, text_modes, render, length_budget_report,
         shuffle, shuffle_copies, cap_pairs, cap_copies, split_rows, split_by_position,
+        side_groups, leakage_sides,
         split_pairs, split_threshold, leakage_rows, leakage_pairs, split_report, split_totals,
         preview_raw, preview_shuffled, example_build, shuffled_examples, example_copies,
         split_priority, corpus_array, report_details, generate_batches, corpus_growth,

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as V
 from tandem.operators.examples import fill, triple, with_pair_id
+from tandem.operators.groups import split_groups, with_group
 from tandem.operators.pairs import dedup_pairs, min_chars, union_sources
 from tandem.operators.sample import cap, shuffle_pos, split, split_at
 from tandem.sources.workspace import stage
@@ -35,13 +36,16 @@ def prepare_examples(
     system: str = V.SYSTEM_PROMPT,
     split_pairs: bool = True,
     unique: bool = False,
+    split_sides: bool = False,
 ) -> DataFrame:
     """Examples with their split: cap, minimum length, fan-out, split, in that order.
 
     Examples are shuffled: ``pos`` is their place in the seeded order of all, and of those of a split.
     Ids and bare pairs are ranked, and the prompts filled in after. By default the split is drawn on
     pairs, so that the three examples of a pair stay together; with ``split_pairs=False`` it is drawn
-    on examples, which lets a pair appear in train and test alike.
+    on examples, which lets a pair appear in train and test alike. ``split_sides=True`` keeps all pairs
+    together that share a source or a target, case aside (``split_groups``): where sources have several
+    targets, only this keeps every prompt and every answer in one split. Its sizes count pairs.
 
     Repeated pairs are kept, count towards the cap, and share their split, whose sizes then count
     different pairs. ``unique`` states that there are none, as ``build_corpus`` leaves it, which spares
@@ -53,10 +57,12 @@ def prepare_examples(
     if max_pairs is not None:
         pairs = cap(pairs, max_pairs, seed, ("source", "target"), unique=unique)
     pairs = stage(with_pair_id(min_chars(pairs)), "pairs")
-    if split_pairs:
+    if split_sides:
+        pairs = split_groups(stage(with_group(pairs), "grouped"), seed=seed).drop("group_id")
+    elif split_pairs:
         pairs = split(pairs, seed=seed, by=("pair_id",), unique=unique)
     placed = shuffle_pos(triple(pairs), f"{seed}/examples", ("pair_id", "kind"), unique=unique)
-    if not split_pairs:
+    if not (split_sides or split_pairs):
         placed = split_at(placed)
     return fill(placed, seed, system=system).select(
         "pair_id", "kind", "pos", "prompt", "completion", "split"
