@@ -417,6 +417,11 @@ FROM ({_CURATED}) n""",
 SELECT count(*) AS total, count(*) FILTER (hit) AS covered,
        (count(*) FILTER (hit))::DOUBLE / count(*) AS rate
 FROM (SELECT {_known('n', _UNLABELLED, ['source'])} AS hit FROM ({_CURATED}) n)""",
+    "benchmark_passages": """
+SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE b.text <> ''""",
+    "benchmark_passage_coverage": """
+SELECT item_id, count(doc_id) AS n_documents, count(doc_id) > 0 AS covered
+FROM benchmark b LEFT JOIN documents d ON b.text <> '' AND contains(d.text, b.text) GROUP BY item_id""",
     "text_measures": f"""
 SELECT doc_id, length({_strip('text')})::INT AS n_stripped, len({_words('text')})::INT AS n_words,
        len(list_distinct({_words('lower(text)')}))::INT AS n_distinct_words,
@@ -493,6 +498,18 @@ SELECT ord, source, target, 'fr' AS source_lang, 'dioula' AS target_lang FROM ({
     "corpus_files": f"""
 WITH {_CORPUS} SELECT source, target, source_lang, target_lang FROM corpus""",
     "example_files": f"WITH {_ROW_SPLIT} SELECT prompt, completion, split FROM splits",
+    "ordered_shards": f"""
+WITH {_ROW_SPLIT},
+lines AS (SELECT split, pos, pos // greatest(ceil(n / 65536.0)::BIGINT, 1) AS block,
+                 '{{"prompt":' || to_json(prompt) || ',"completion":' || to_json(completion) || '}}' || chr(10) AS line
+          FROM splits),
+blocks AS (SELECT split, block, sum(strlen(line)) AS b, count(*) AS k FROM lines GROUP BY ALL),
+dealt AS (SELECT *, (coalesce(sum(b) OVER before, 0) // 65536)::INT AS shard, coalesce(sum(k) OVER before, 0) AS line_at
+          FROM blocks WINDOW before AS (PARTITION BY split ORDER BY block
+                                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT split, shard, min(line_at)::BIGINT AS first_line, count(*) AS n_lines, min(pos) AS first_pos,
+       max(pos) AS last_pos, sum(strlen(line))::BIGINT AS n_bytes, md5(string_agg(line, '' ORDER BY pos)) AS content
+FROM lines JOIN dealt USING (split, block) GROUP BY split, shard""",
     "report_files": f"WITH {_ECHOED}, {_SCORING}, {_TOTALS} {_REPORT}",
     "report_details": f"""
 WITH {_ECHOED}, {_SCORING}

@@ -35,6 +35,7 @@ from tandem.operators.pairs import (
     pair_predictions,
     to_pairs,
 )
+from tandem.operators.passages import passage_coverage, passage_hits
 from tandem.operators.requests import (
     fill_chat_defaults,
     fill_translate_defaults,
@@ -72,6 +73,7 @@ from tandem.sources.readers import (
     read_splits,
 )
 from tandem.sources.schemas import PAIR
+from tandem.sources.shards import write_shards
 from tandem.sources.workspace import fresh_path, stage
 from tandem.sources.writers import (
     preview,
@@ -154,6 +156,16 @@ def benchmark_coverage_rate(spark, sf):
     return coverage_rate(coverage(benchmark, corpus, "source"))
 
 
+def benchmark_passages(spark, sf):
+    """Every benchmark item in every document that contains its text."""
+    return passage_hits(R.table(spark, sf, "benchmark"), R.table(spark, sf, "documents"))
+
+
+def benchmark_passage_coverage(spark, sf):
+    items = R.table(spark, sf, "benchmark").select("item_id", "text")
+    return passage_coverage(items, passage_hits(items, R.table(spark, sf, "documents"))).drop("text")
+
+
 def text_measures(spark, sf):
     text = F.col("text")
     return R.table(spark, sf, "documents").select(
@@ -307,6 +319,15 @@ def example_copies(spark, sf):
 # files
 
 
+def ordered_shards(spark, sf):
+    """Split examples in their seeded order as numbered shards: the manifest, and what the files hold."""
+    placed = split_at(shuffle_pos(_staged_examples(spark, sf), SEED, [*TURN_KEYS, "kind"], unique=True))
+    path = fresh_path(spark, "shards")
+    manifest = write_shards(stage(placed, "placed"), path, 1 << 16)
+    files = spark.read.text(path, wholetext=True).select("split", "shard", F.md5("value").alias("content"))
+    return manifest.join(files, ["split", "shard"])
+
+
 def split_priority(spark, sf):
     """Two splits with the same pairs in different case, in both orders: the first split's row wins."""
     rows = R.line_pairs(R.table(spark, sf, "documents"))
@@ -610,14 +631,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         corpus_clean, corpus_stats, corpus_composition, novel_pairs, min_length,
-        benchmark_coverage, benchmark_coverage_rate, text_measures,
+        benchmark_coverage, benchmark_coverage_rate, benchmark_passages,
+        benchmark_passage_coverage, text_measures,
         examples, text_modes, render, length_budget_report,
         shuffle, shuffle_copies, cap_pairs, cap_copies, split_rows, split_by_position,
         side_groups, leakage_sides,
         split_pairs, split_threshold, leakage_rows, leakage_pairs, split_report, split_totals,
         preview_raw, preview_shuffled, example_build, shuffled_examples, example_copies,
         split_priority, corpus_array, report_details, generate_batches, corpus_growth,
-        split_files, raw_files, seed_files, corpus_files, example_files, report_files, smoke_files,
+        split_files, raw_files, seed_files, corpus_files, example_files, ordered_shards, report_files,
+        smoke_files,
         language, language_confusion, intent, output_cleanup,
         chat_validation, translate_validation, generate_stub, generate_errors,
         rejected_requests, chat, translate, latency,
