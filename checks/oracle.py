@@ -542,6 +542,9 @@ UNION ALL SELECT 'loud', 'loud', ord, {_LOUD}, target FROM firsts""",
 WITH {_CORPUS} SELECT source, target, source_lang, target_lang FROM corpus""",
     "corpus_growth": f"""
 WITH {_CORPUS} SELECT lower(source) AS source_key, lower(target) AS target_key FROM corpus""",
+    "corpus_compacted": f"""
+WITH {_CORPUS} SELECT state, lower(source) AS source_key, lower(target) AS target_key
+FROM corpus, (VALUES ('grown'), ('compacted')) AS states(state)""",
     "example_build": f"""
 WITH {_CORPUS}, {_placed('corpus', 'source, target', 'shuffled')},
 kept AS (SELECT source, target FROM shuffled

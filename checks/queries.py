@@ -84,6 +84,7 @@ from tandem.sources.writers import (
     write_raw,
 )
 from tandem.streaming.append import stream_append
+from tandem.streaming.corpus_table import append_batch, compact, read_corpus, stream_grow
 from tandem.streaming.serve import stream_job
 
 SEED = 42
@@ -603,6 +604,23 @@ def corpus_growth(spark, sf):
     )
 
 
+def corpus_compacted(spark, sf):
+    """A corpus table of curated pairs, grown by all documents in batches; its keys before and after it is
+    compacted for the last time."""
+    landed, path = fresh_path(spark, "landed"), fresh_path(spark, "table")
+    R.table(spark, sf, "documents").select(*R.DOCUMENT.names).repartition(4, "doc_id").write.parquet(landed)
+    append_batch(build_corpus([("curated", R.curated_pairs(spark, sf))]).drop("pri", "origin"), path)
+    rows = spark.readStream.schema(R.DOCUMENT).option("maxFilesPerTrigger", 1).parquet(landed)
+    pairs = R.document_pairs(rows)
+    stream_grow(pairs, path, fresh_path(spark, "checkpoint"), compact_after=3).awaitTermination()
+    before = read_corpus(spark, path)
+    compact(spark, path)
+    both = before.withColumn("state", F.lit("grown")).unionByName(
+        read_corpus(spark, path).withColumn("state", F.lit("compacted"))
+    )
+    return both.select("state", F.lower("source").alias("source_key"), F.lower("target").alias("target_key"))
+
+
 def _streamed(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """Run a streaming frame into a folder and read that back."""
     path = fresh_path(spark, "replies")
@@ -638,7 +656,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         side_groups, leakage_sides,
         split_pairs, split_threshold, leakage_rows, leakage_pairs, split_report, split_totals,
         preview_raw, preview_shuffled, example_build, shuffled_examples, example_copies,
-        split_priority, corpus_array, report_details, generate_batches, corpus_growth,
+        split_priority, corpus_array, report_details, generate_batches, corpus_growth, corpus_compacted,
         split_files, raw_files, seed_files, corpus_files, example_files, ordered_shards, report_files,
         smoke_files,
         language, language_confusion, intent, output_cleanup,
