@@ -22,9 +22,9 @@ from tandem.functions.text import pair_key
 from tandem.operators.pairs import dedup_pairs
 from tandem.streaming.trigger import with_trigger
 
-#: Hex digits of the key that name a partition of the base (at most 16**PREFIX_DIGITS of them), and young
-#: folders at which a stream compacts.
-PREFIX_DIGITS, COMPACT_AFTER = 2, 16
+#: Rows of a prefix that a compaction aims at, digits of a prefix at most (hex, so 16**3 of them), and
+#: young folders at which a stream compacts.
+PREFIX_ROWS, MOST_DIGITS, COMPACT_AFTER = 1 << 20, 3, 16
 #: Up to so many keys a batch asks the base's files for each by value, which their Bloom filters answer.
 KEYS_BY_VALUE = 10
 
@@ -37,6 +37,7 @@ class Snapshot(NamedTuple):
     young: tuple[str, ...] = ()
     columns: str = ""
     batches: dict[str, int] = {}
+    digits: int = 1  # of the base's prefixes
 
 
 class Changed(Exception):
@@ -86,8 +87,8 @@ def _publish(spark: SparkSession, path: str, state: Snapshot) -> None:
         raise
 
 
-def prefix(key: str = "pair_key") -> Column:
-    return F.lower(F.substring(F.hex(F.col(key)), 1, PREFIX_DIGITS))
+def prefix(digits: int) -> Column:
+    return F.lower(F.substring(F.hex("pair_key"), 1, digits))
 
 
 def _folder(spark: SparkSession, path: str, name: str, columns: str) -> DataFrame:
@@ -109,13 +110,13 @@ def known_keys(spark: SparkSession, path: str, at: Snapshot, batch: DataFrame) -
     """``pair_key`` of the rows that could be in ``batch`` (which has ``pair_key``): those of the base under
     the batch's prefixes, and those of the young folders.
 
-    The prefixes, at most 16**PREFIX_DIGITS, prune the base's folders before it is listed for reading;
+    The prefixes, at most 16**MOST_DIGITS, prune the base's folders before it is listed for reading;
     a handful of keys is also given by value, and files whose Bloom filter lacks them are passed over.
     """
     keys = spark.createDataFrame([], "pair_key binary")
     if at.base:
         old = _folder(spark, path, at.base, at.columns + ", prefix string")
-        wanted = [r[0] for r in batch.select(prefix()).distinct().collect()]
+        wanted = [r[0] for r in batch.select(prefix(at.digits)).distinct().collect()]
         old = old.filter(F.col("prefix").isin(wanted))
         few = [bytes(r[0]) for r in batch.select("pair_key").limit(KEYS_BY_VALUE + 1).collect()]
         if len(few) <= KEYS_BY_VALUE:
@@ -155,26 +156,33 @@ def append_batch(
     columns = at.columns or ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema)
     young = at.young if _folder(spark, path, name, columns).isEmpty() else (*at.young, name)
     batches = at.batches if batch_id is None else at.batches | {writer: batch_id}
-    _publish(spark, path, Snapshot(at.version + 1, at.base, young, columns, batches))
+    _publish(spark, path, at._replace(version=at.version + 1, young=young, columns=columns, batches=batches))
     return True
 
 
-def compact(spark: SparkSession, path: str) -> Snapshot:
+def compact(spark: SparkSession, path: str, digits: int | None = None) -> Snapshot:
     """Rewrite base and young folders as one base and switch to it; the old folders stay until ``clear``.
 
-    A prefix's rows come together, a large prefix in several files, small prefixes in one task; files are
+    The more rows, the longer the prefixes. A prefix's rows come together, a large prefix in several files, small prefixes in one task; files are
     sorted by key and carry a Bloom filter of their keys. If a batch comes in between, ``Changed`` is
     raised and the table is as that batch left it.
     """
     at = snapshot(spark, path)
-    rows = read_corpus(spark, path, at).withColumn("prefix", prefix())
+    rows = read_corpus(spark, path, at)
+    n = rows.count()  # from the files' footers
+    if digits is None:
+        digits = 1
+        while digits < MOST_DIGITS and n > PREFIX_ROWS * 16**digits:
+            digits += 1
     name = f"base-{uuid.uuid4().hex}"
     (
-        rows.hint("rebalance", "prefix").sortWithinPartitions("prefix", "pair_key").write.partitionBy("prefix")
+        rows.withColumn("prefix", prefix(digits)).hint("rebalance", "prefix")
+        .sortWithinPartitions("prefix", "pair_key").write.partitionBy("prefix")
         .option("parquet.bloom.filter.enabled#pair_key", "true")
-        .option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{path}/{name}")
+        .option("parquet.bloom.filter.expected.ndv#pair_key", str(max(64, 2 * n >> 4 * digits)))
+        .parquet(f"{path}/{name}")
     )
-    now = at._replace(version=at.version + 1, base=name, young=())
+    now = at._replace(version=at.version + 1, base=name, young=(), digits=digits)
     _publish(spark, path, now)
     return now
 

@@ -49,11 +49,11 @@ def test_batches_grow_and_compact(spark, tmp_path):
 def test_a_batch_reads_its_prefixes_only(spark, tmp_path):
     path = str(tmp_path / "c")
     C.append_batch(batch(spark, [(i, f"s{i}", "t") for i in range(3000)]), path)
-    at = C.compact(spark, path)
+    at = C.compact(spark, path, digits=2)
     assert len(glob.glob(f"{path}/{at.base}/prefix=*")) == 256
     few = batch(spark, [(1, "s5", "T"), (2, "new", "t")]).withColumn("pair_key", pair_key(F.col("source"), F.col("target")))
     known = C.known_keys(spark, path, at, few)
-    wanted = {r[0] for r in few.select(C.prefix()).collect()}
+    wanted = {r[0] for r in few.select(C.prefix(2)).collect()}
     plan = known._jdf.queryExecution().executedPlan().toString()
     pruned = plan.split("PartitionFilters: [")[1].split("]")[0]
     assert all(x in pruned for x in wanted) and "pair_key" in plan.split("PushedFilters: [")[1].split("]")[0]
@@ -64,6 +64,16 @@ def test_a_batch_reads_its_prefixes_only(spark, tmp_path):
     assert C.known_keys(spark, path, at, many).join(many, "pair_key", "left_semi").count() == 40
 
 
+def test_prefixes_grow_with_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "c")
+    C.append_batch(batch(spark, [(i, f"s{i}", "t") for i in range(500)]), path)
+    assert C.compact(spark, path).digits == 1
+    monkeypatch.setattr(C, "PREFIX_ROWS", 10)
+    assert C.compact(spark, path).digits == 2
+    C.append_batch(batch(spark, [(9, "S9", "T"), (900, "s900", "t")]), path)
+    assert len(held(spark, path)) == 501
+
+
 def test_files_stay_few(spark, tmp_path):
     path = str(tmp_path / "c")
     for k in range(5):
@@ -71,7 +81,7 @@ def test_files_stay_few(spark, tmp_path):
     assert len(data_files(path)) == 5
     C.compact(spark, path)
     C.clear(spark, path)
-    assert len(data_files(path)) <= 100 and len(held(spark, path)) == 100
+    assert len(data_files(path)) <= 16 and len(held(spark, path)) == 100
 
 
 def test_a_batch_that_fails_before_its_manifest_is_not_there(spark, tmp_path, monkeypatch):
