@@ -149,7 +149,8 @@ class ChunkedEncoder:
 
     The vocabulary's pre-tokens never reach across a single blank or line feed between other
     characters, so such a text may be cut there and equal cuts encoded once. Texts with other white
-    space are encoded whole. Ids are those of the library on the whole text either way.
+    space, and those that hold the string of a special token, are encoded whole. Ids are those of the
+    library on the whole text either way.
     """
 
     #: All white space, by any definition, but blank and line feed.
@@ -157,6 +158,7 @@ class ChunkedEncoder:
 
     def __init__(self, tokenizer_json: str):
         self.vocabulary, self.tokenizer = tokenizer_json, None
+        self.special = tuple(x["content"] for x in json.loads(tokenizer_json).get("added_tokens", ()))
         self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}  # as a text begins, or a line
         self.after: dict[str, bytes] = {}  # with a blank before
@@ -166,13 +168,12 @@ class ChunkedEncoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_str(self.vocabulary)
-            self.tokenizer.encode_special_tokens = True
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(x)}I", *x.ids) for x in found]
 
     def _odd(self, text: str) -> bool:
         return any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or any(
-            c in text for c in self.ODD
+            c in text for c in (*self.special, *self.ODD)
         )
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -240,7 +241,8 @@ def write_ids(
     Returns the manifest (part, file, path, n_docs, n_ids), itself a written table. Documents are
     dealt by range of doc_id; a task writes its files under other names and then renames them, so one
     that runs again leaves the same files. Null texts count as empty, null doc_ids come first, equal
-    doc_ids lie next to each other. No special token is recognised in texts.
+    doc_ids lie next to each other. The string of a special token in a text
+    is that token, as in the library's plain call.
     """
     with open(tokenizer_file, encoding="utf-8") as f:
         encoder = sent(docs.sparkSession, ChunkedEncoder(f.read()))

@@ -150,7 +150,6 @@ def test_lines_over_the_limit_are_removed(spark):
 def test_ids_round_trip(spark, docs, planes, tmp_path):
     manifest = bitplanes.write_ids(docs, str(tmp_path), BPE, 2, planes, chunk=1000, file_ids=9000)
     tokenizer = Tokenizer.from_file(BPE)
-    tokenizer.encode_special_tokens = True
     expected = ordered(
         (r.doc_id, tuple(tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]))
         for r in docs.collect()
