@@ -151,7 +151,8 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, most_rows: int) -> D
     n = known.count()
     if n > most_rows:
         known = known.filter(draw < int((1 << 30) * most_rows / n))
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    # At most about ``most_rows`` keys and labels, whatever the table: texts stay where they are.
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     rows = rows.select("text", "y", (fold(F.col("doc_id")) == 4).alias("calibrate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
