@@ -445,6 +445,11 @@ WITH {_EXAMPLES}, counted AS (
   SELECT kind, len({_words('prompt || completion')})::INT AS n FROM examples)
 SELECT kind, count(*) AS n_examples, count(*) FILTER (n > 120) AS n_over, max(n) AS max_tokens
 FROM counted GROUP BY kind""",
+    "packed_examples": f"""
+WITH {_EXAMPLES}, counted AS (
+  SELECT len({_words('prompt || completion')}) AS n, length(prompt || completion) AS c FROM examples)
+SELECT count(*) AS n_examples, sum(n)::BIGINT AS n_tokens, count(*) FILTER (n > 512) AS n_over,
+       sum(c)::BIGINT AS n_chars, true AS within, true AS few_packs FROM counted""",
     "shuffle": f"""
 WITH {_TURN_PAIRS}, {_placed('pairs', 'conv_id, turn')}
 SELECT conv_id, turn, pos FROM placed""",
@@ -511,6 +516,8 @@ SELECT split, shard, min(line_at)::BIGINT AS first_line, count(*) AS n_lines, mi
        max(pos) AS last_pos, sum(strlen(line))::BIGINT AS n_bytes, md5(string_agg(line, '' ORDER BY pos)) AS content
 FROM lines JOIN dealt USING (split, block) GROUP BY split, shard""",
     "report_files": f"WITH {_ECHOED}, {_SCORING}, {_TOTALS} {_REPORT}",
+    "report_versions": f"""
+WITH {_SCORED}, {_TOTALS}, report AS ({_REPORT}) SELECT *, total AS n_details FROM report""",
     "report_details": f"""
 WITH {_ECHOED}, {_SCORING}
 SELECT conv_id * 1000 + turn AS item_id, prediction, char_similarity, exact, partial, status
@@ -579,6 +586,10 @@ SELECT request_id, CASE WHEN NOT contains(text, 'ei') THEN text END AS output,
        NOT contains(text, 'ei') AS success,
        CASE WHEN contains(text, 'ei') THEN 'no answer to ei' END AS error FROM {_TURNS}""",
     "generate_batches": f"""
+SELECT request_id, CASE WHEN NOT contains(text, 'ei') THEN text END AS output,
+       NOT contains(text, 'ei') AS success,
+       CASE WHEN contains(text, 'ei') THEN 'no answer to ei' END AS error FROM {_TURNS}""",
+    "generate_buckets": f"""
 SELECT request_id, CASE WHEN NOT contains(text, 'ei') THEN text END AS output,
        NOT contains(text, 'ei') AS success,
        CASE WHEN contains(text, 'ei') THEN 'no answer to ei' END AS error FROM {_TURNS}""",
@@ -616,4 +627,8 @@ SELECT ord, source, target, 'fr' AS source_lang, 'dioula' AS target_lang FROM (
   FROM ({_ALL}))
 WHERE rn = 1""",
     "request_stream": _CHAT,
+    "request_sides": f"""
+WITH {_CHAT_REQUESTS}
+SELECT request_id, errors,
+       CASE WHEN errors = '' THEN {_stub('max_tokens', _prompt('message', _SERVING))} END AS reponse FROM checked""",
 }

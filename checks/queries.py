@@ -35,6 +35,7 @@ from tandem.operators.pairs import (
     pair_predictions,
     to_pairs,
 )
+from tandem.operators.packing import pack_examples, packed_texts, packing_report
 from tandem.operators.passages import passage_coverage, passage_hits
 from tandem.operators.requests import (
     fill_chat_defaults,
@@ -60,7 +61,7 @@ from tandem.operators.score import (
     smoke_report,
 )
 from tandem.plans.corpus import build_corpus, prepare_examples
-from tandem.plans.evaluate import publish, run_benchmark, run_smoke
+from tandem.plans.evaluate import publish, publish_version, read_report, run_benchmark, run_smoke
 from tandem.plans.serve import chat_job, translate_job
 from tandem.sources.readers import (
     read_benchmark,
@@ -85,7 +86,7 @@ from tandem.sources.writers import (
 )
 from tandem.streaming.append import stream_append
 from tandem.streaming.corpus_table import append_batch, compact, read_corpus, stream_grow
-from tandem.streaming.serve import stream_job
+from tandem.streaming.serve import read_side, stream_job, stream_sides
 
 SEED = 42
 TURN_KEYS = ["conv_id", "turn"]
@@ -206,6 +207,20 @@ def length_budget_report(spark, sf):
     return budget_report(length_budget(with_text(_turn_examples(spark, sf)), limit=120))
 
 
+def packed_examples(spark, sf):
+    """Examples packed to the sequence length: nothing lost, repeated, cut or over, and no pack too many."""
+    keys = [*TURN_KEYS, "kind"]
+    counted = stage(length_budget(with_text(_turn_examples(spark, sf))).select(*keys, "text", "n_tokens"), "counted")
+    packs = stage(pack_examples(counted, keys), "packs")
+    texts = packed_texts(counted, packs, keys)
+    report = packing_report(packs).crossJoin(texts.agg(F.sum(F.length("text")).alias("n_chars")))
+    least = F.ceil((F.col("n_tokens") - F.col("n_over")) / 512)
+    return report.select(
+        "n_examples", "n_tokens", "n_over", "n_chars", (F.col("fullest") <= 512).alias("within"),
+        ((F.col("n_packs") >= least) & (F.col("n_packs") <= 1.5 * least + 1)).alias("few_packs"),
+    )
+
+
 # sampling and splits
 
 
@@ -369,6 +384,16 @@ def report_details(spark, sf):
     )
 
 
+def report_versions(spark, sf):
+    """A report published twice, first of half of the items; the newest one's details and sum."""
+    path = fresh_path(spark, "report")
+    scored = _scored(spark, sf)
+    publish_version(scored.filter("turn < 3"), path)
+    publish_version(scored, path)
+    details, summary = read_report(spark, path)
+    return summary.crossJoin(details.agg(F.count(F.lit(1)).alias("n_details")))
+
+
 def split_files(spark, sf):
     """Documents landed as two named splits, read back as nullable sides and cleaned."""
     labelled = R.table(spark, sf, "labels").select("doc_id")
@@ -518,6 +543,16 @@ def generate_batches(spark, sf):
     return replies.select("request_id", "generated.*").drop("latence_ms")
 
 
+def generate_buckets(spark, sf):
+    """The same in lists of like lengths under a budget: failing ones are halved until the bad rows are alone."""
+    turns = R.user_turns(R.table(spark, sf, "conversations")).select(
+        "request_id", F.col("text").alias("prompt"),
+        F.lit(100).alias("max_tokens"), F.lit(0.3).alias("temperature"),
+    )
+    replies = generate(turns, R.batch_factory(), batched=True, batch_rows=64, batch_chars=1 << 14)
+    return replies.select("request_id", "generated.*").drop("latence_ms")
+
+
 def rejected_requests(spark, sf):
     chats = rejected(validate_chat(R.chat_requests(R.table(spark, sf, "conversations"))))
     return chats.select("request_id", F.concat_ws(",", "errors").alias("errors"))
@@ -645,18 +680,33 @@ def reject_stream(spark, sf):
     return _streamed(spark, bad.select("request_id", F.concat_ws(",", "errors").alias("errors")))
 
 
+def request_sides(spark, sf):
+    """Chat requests as one stream that leaves replies and rejects."""
+    path = fresh_path(spark, "sides")
+    stream_sides(
+        R.chat_requests(R.stream(spark, sf, "conversations", R.TURN)), validate_chat,
+        lambda good: chat_job(good, R.stub_factory(), "stub"), path, fresh_path(spark, "checkpoint"),
+    ).awaitTermination()
+    good = read_side(spark, path, "accepted").select("request_id", F.lit("").alias("errors"), "reponse")
+    return good.unionByName(
+        read_side(spark, path, "rejected").select(
+            "request_id", F.concat_ws(",", "errors").alias("errors"), F.lit(None).cast("string").alias("reponse")
+        )
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         corpus_clean, corpus_stats, corpus_composition, novel_pairs, min_length,
         benchmark_coverage, benchmark_coverage_rate, benchmark_passages,
         benchmark_passage_coverage, text_measures,
-        examples, text_modes, render, length_budget_report,
+        examples, text_modes, render, length_budget_report, packed_examples,
         shuffle, shuffle_copies, cap_pairs, cap_copies, split_rows, split_by_position,
         side_groups, leakage_sides,
         split_pairs, split_threshold, leakage_rows, leakage_pairs, split_report, split_totals,
         preview_raw, preview_shuffled, example_build, shuffled_examples, example_copies,
-        split_priority, corpus_array, report_details, generate_batches, corpus_growth, corpus_compacted,
+        split_priority, corpus_array, report_details, report_versions, generate_batches, generate_buckets, corpus_growth, corpus_compacted,
         split_files, raw_files, seed_files, corpus_files, example_files, ordered_shards, report_files,
         smoke_files,
         language, language_confusion, intent, output_cleanup,
@@ -664,6 +714,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rejected_requests, chat, translate, latency,
         matched_predictions, scored_items, benchmark_report, benchmark_verdict, scores_by_kind,
         smoke, dataset_profile, corpus_stream, request_stream,
-        translate_stream, reject_stream,
+        translate_stream, reject_stream, request_sides,
     )
 }

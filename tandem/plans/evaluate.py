@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as V
@@ -12,6 +13,9 @@ from tandem.functions.detect import clean_output, last_reply
 from tandem.functions.templates import chat_prompt, request_text
 from tandem.operators.generate import BatchGenerator, Generator, generate
 from tandem.operators.score import score_items, score_report, score_totals, smoke_report
+from tandem.sources.schemas import REPORT
+from tandem.sources.versions import Changed, latest
+from tandem.sources.versions import publish as publish_manifest
 from tandem.sources.writers import write_details, write_summary
 
 BENCHMARK_MAX_TOKENS = 30
@@ -53,6 +57,33 @@ def publish(scored: DataFrame, path: str) -> DataFrame:
     return summary
 
 
+def publish_version(scored: DataFrame, path: str) -> DataFrame:
+    """Write details and summary as one new version of the report; returns the summary.
+
+    Both go to a folder of their own, and a manifest that names it is published last. So a report that
+    failed between the two is not there, and no reader sees new details beside an old sum. Earlier
+    versions stay. If two are published at once, the later gets the next number.
+    """
+    spark, folder = scored.sparkSession, f"report-{uuid.uuid4().hex}"
+    summary = publish(scored, f"{path}/{folder}")
+    while True:
+        version = (latest(spark, path) or {"version": -1})["version"] + 1
+        try:
+            publish_manifest(spark, path, version, {"version": version, "folder": folder})
+            return summary
+        except Changed:
+            continue
+
+
+def read_report(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Details and summary of the newest whole report."""
+    state = latest(spark, path)
+    if state is None:
+        raise FileNotFoundError(f"no report in {path}")
+    folder = f"{path}/{state['folder']}"
+    return spark.read.parquet(f"{folder}/details"), spark.read.schema(REPORT).json(f"{folder}/summary")
+
+
 def run_smoke(
     cases: DataFrame,
     make_generator: Callable[[], Generator | BatchGenerator],

@@ -25,3 +25,7 @@ CHAT_REQUEST = _schema(
 )
 TRANSLATE_REQUEST = _schema(("request_id", _S), ("texte", _S), ("direction", _S))
 GENERATED = _schema(("output", _S), ("latence_ms", _I), ("success", _B), ("error", _S))
+REPORT = _schema(
+    ("benchmark", _S), ("score_exact_pct", _D), ("score_global_pct", _D), ("avg_char_similarity_pct", _D),
+    ("exact", _L), ("partial", _L), ("total", _L),
+)

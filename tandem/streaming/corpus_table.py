@@ -9,10 +9,9 @@ compaction turns into the next base when there are many.
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Sequence
-from typing import Any, NamedTuple
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +19,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tandem.functions.text import pair_key
 from tandem.operators.pairs import dedup_pairs
+from tandem.sources.versions import Changed, file_system, latest, publish
 from tandem.streaming.trigger import with_trigger
 
 #: Rows of a prefix that a compaction aims at, digits of a prefix at most (hex, so 16**3 of them), and
 #: young folders at which a stream compacts.
 PREFIX_ROWS, MOST_DIGITS, COMPACT_AFTER = 1 << 20, 3, 16
+__all__ = ["Changed", "Snapshot", "append_batch", "clear", "compact", "known_keys", "read_corpus", "snapshot", "stream_grow"]
+
 #: Up to so many keys a batch asks the base's files for each by value, which their Bloom filters answer.
 KEYS_BY_VALUE = 10
 
@@ -40,51 +42,14 @@ class Snapshot(NamedTuple):
     digits: int = 1  # of the base's prefixes
 
 
-class Changed(Exception):
-    """Another writer published a manifest in the meantime; nothing of this one's is in the table."""
-
-
-def _files(spark: SparkSession, path: str) -> tuple[Any, Any]:
-    """Hadoop's classes and the file system that holds the path, as Spark itself uses them."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    return hadoop, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-
 def snapshot(spark: SparkSession, path: str) -> Snapshot:
     """The table as it is now; of no version if there is none yet."""
-    hadoop, files = _files(spark, path)
-    folder = hadoop.Path(f"{path}/_manifests")
-    if not files.exists(folder):
-        return Snapshot()
-    names = sorted(x.getPath().getName() for x in files.listStatus(folder))
-    names = [x for x in names if x.endswith(".json") and not x.startswith((".", "_"))]
-    if not names:
-        return Snapshot()
-    stream = files.open(hadoop.Path(folder, names[-1]))
-    try:
-        state = json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
-    return Snapshot(**state | {"young": tuple(state["young"])})
+    state = latest(spark, path)
+    return Snapshot(**state | {"young": tuple(state["young"])}) if state else Snapshot()
 
 
 def _publish(spark: SparkSession, path: str, state: Snapshot) -> None:
-    """Writes the manifest under a name of its own and renames it; fails if its number is taken."""
-    hadoop, files = _files(spark, path)
-    written = hadoop.Path(f"{path}/_manifests/.{uuid.uuid4().hex}")
-    final = hadoop.Path(f"{path}/_manifests/{state.version:020d}.json")
-    out = files.create(written, False)
-    out.write(bytearray(json.dumps(state._asdict()), "utf-8"))
-    out.close()
-    context = hadoop.FileContext.getFileContext(files.getUri(), spark._jsc.hadoopConfiguration())
-    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0)
-    try:
-        context.rename(files.makeQualified(written), files.makeQualified(final), none)
-    except Exception as error:
-        files.delete(written, False)
-        if "FileAlreadyExists" in str(error):
-            raise Changed(f"manifest {state.version} of {path}") from None
-        raise
+    publish(spark, path, state.version, state._asdict())
 
 
 def prefix(digits: int) -> Column:
@@ -190,7 +155,7 @@ def compact(spark: SparkSession, path: str, digits: int | None = None) -> Snapsh
 def clear(spark: SparkSession, path: str) -> list[str]:
     """Delete the folders and manifests that the current manifest does not need; their names. Only for when
     no reader uses an older snapshot and no batch is being written."""
-    hadoop, files = _files(spark, path)
+    hadoop, files = file_system(spark, path)
     at = snapshot(spark, path)
     keep = {at.base, *at.young, "_manifests", f"{at.version:020d}.json"}
     gone = []

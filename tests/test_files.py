@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tandem.functions.fixed_values import WHITESPACE
 from tandem.operators.stats import profile
 from tandem.plans.corpus import prepare_examples
-from tandem.plans.evaluate import publish, run_benchmark, run_smoke
+from tandem.plans import evaluate
+from tandem.plans.evaluate import publish, publish_version, read_report, run_benchmark, run_smoke
 from tandem.sources import readers as R
 from tandem.sources import schemas as S
 from tandem.sources import writers as K
@@ -177,3 +178,28 @@ def test_benchmark_and_smoke_runs(spark, tmp_path):
     spark.createDataFrame(cases, S.SMOKE_CASE).write.json(f"{tmp_path}/s")
     row = run_smoke(R.read_cases(spark, f"{tmp_path}/s"), echo()).first()
     assert (row.passed, row.total, row.verdict) == (2, 2, "ready")
+
+
+def test_a_report_is_there_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "r")
+    with pytest.raises(FileNotFoundError):
+        read_report(spark, path)
+    scored = spark.createDataFrame(
+        [(1, 1.0, True, False, "EXACT"), (2, 0.0, False, False, "FAUX")],
+        "item_id long, char_similarity double, exact boolean, partial boolean, status string",
+    )
+    summary = publish_version(scored.filter("item_id = 1"), path).first()
+    assert (summary.exact, summary.total) == (1, 1)
+
+    def fail(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(evaluate, "write_summary", fail)
+        with pytest.raises(OSError):
+            publish_version(scored, path)
+    details, summary = read_report(spark, path)
+    assert details.count() == summary.first().total == 1
+    publish_version(scored, path)
+    details, summary = read_report(spark, path)
+    assert details.count() == summary.first().total == 2 and summary.first().score_exact_pct == 50.0

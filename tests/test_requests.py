@@ -108,6 +108,43 @@ def test_batches_with_errors_per_row(spark):
                 assert (g.output, g.success, g.error) == (f"{r.prompt}|5|0.5", True, None)
 
 
+def calls_of(spark, tmp_path, n, bad, **settings):
+    log = str(tmp_path / f"{n}-{len(bad)}-{len(settings)}")
+
+    def make():
+        def model(prompts, max_tokens, temperatures):
+            with open(log, "a") as f:
+                f.write(f"{len(prompts)} {max(map(len, prompts))}\n")
+            if any(p.startswith("bad") for p in prompts):
+                raise ValueError(f"{len(prompts)} refused")
+            return [p.upper() for p in prompts]
+
+        return model
+
+    rows = [(i, "bad" * (1 + i % 3) if i in bad else "x" * (i * 7 % 50 + 1), 5, 0.5) for i in range(n)]
+    df = spark.createDataFrame(rows, "id bigint, prompt string, max_tokens int, temperature double")
+    for r in generate(df.coalesce(1), make, batched=True, **settings).collect():
+        g = r.generated
+        expected = (None, False, "1 refused") if r.id in bad else (r.prompt.upper(), True, None)
+        assert (g.output, g.success, g.error) == expected
+    return [tuple(map(int, x.split())) for x in open(log).read().splitlines()]
+
+
+def test_bad_rows_are_found_by_halving(spark, tmp_path):
+    assert len(calls_of(spark, tmp_path, 256, set())) == 1
+    assert len(calls_of(spark, tmp_path, 256, {77})) == 1 + 2 * 8
+    assert len(calls_of(spark, tmp_path, 256, {3, 100, 200})) <= 1 + 2 * 8 * 3
+    assert len(calls_of(spark, tmp_path, 1, {0})) == 1
+
+
+def test_lists_of_like_lengths_within_a_budget(spark, tmp_path):
+    calls = calls_of(spark, tmp_path, 200, {9}, batch_rows=16, batch_chars=300)
+    assert all(rows <= 16 and (rows == 1 or rows * longest <= 300) for rows, longest in calls)
+    assert len(calls) < 45
+    long = calls_of(spark, tmp_path, 30, set(), batch_chars=10)
+    assert all(rows == 1 or rows * longest <= 10 for rows, longest in long) and sum(r for r, _ in long) == 30
+
+
 def test_generated_fields_come_from_one_evaluation(spark, tmp_path):
     df = spark.createDataFrame([("p", 5, 0.5)], "prompt string, max_tokens int, temperature double")
     log = str(tmp_path / "log")

@@ -5,7 +5,7 @@ from tandem.plans.serve import translate_job
 from tandem.sources.schemas import TRANSLATE_REQUEST
 from tandem.sources.writers import write_pairs
 from tandem.streaming.append import append_novel, stream_append
-from tandem.streaming.serve import stream_job
+from tandem.streaming.serve import read_side, stream_job, stream_sides
 
 SCHEMA = "ord bigint, source string, target string"
 PAIRS = SCHEMA + ", source_lang string, target_lang string"
@@ -82,3 +82,45 @@ def test_append_knows_the_pairs_of_a_written_corpus(spark, tmp_path):
             df.write.parquet(path)
         append_novel(df.unionByName(spark.createDataFrame([(3, "e", "f", "fr", "dioula")], PAIRS)), path)
         assert spark.read.parquet(path).count() == 3
+
+
+def test_one_stream_leaves_both_sides_once(spark, tmp_path):
+    """A batch is run again after it wrote one side only: neither table has a request twice."""
+    path, source, checkpoint = (str(tmp_path / n) for n in ("out", "in", "check"))
+    schema = "request_id string, message string, max_tokens int"
+    broken = []
+
+    def job(good):
+        if broken:
+            raise OSError("lost")
+        return good.withColumn("reply", F.upper("message"))
+
+    def validate(df):
+        return df.withColumn("errors", F.array_compact(F.array(F.when(F.length("message") < 2, "short"))))
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        return stream_sides(stream, validate, job, path, checkpoint)
+
+    def found():
+        good = read_side(spark, path, "accepted").collect()
+        bad = read_side(spark, path, "rejected").collect()
+        return sorted((r.request_id, r.reply) for r in good), sorted((r.request_id, r.errors) for r in bad)
+
+    rows = [("a", "oui", 1), ("b", "x", 1), ("c", "non", 2)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    run().awaitTermination()
+    first = ([("a", "OUI"), ("c", "NON")], [("b", ["short"])])
+    assert found() == first
+    spark.createDataFrame([("d", "oui", 1), ("e", "", 1)], schema).coalesce(1).write.mode("append").parquet(source)
+    broken.append(1)
+    try:
+        run().awaitTermination()
+        raise AssertionError("the batch should have failed")
+    except Exception as error:
+        assert "lost" in str(error)
+    assert found() == first
+    broken.clear()
+    for _ in range(2):
+        run().awaitTermination()
+        assert found() == ([*first[0], ("d", "OUI")], [*first[1], ("e", ["short"])])
