@@ -3,14 +3,16 @@
 The pages of a host are merged into one tree of styles: an element is known by its path of tags and
 class names. Where an element looks the same and says the same on every page, the entropy of its
 presentation and of its content is low, and so is its importance: such branches are the site's, not
-the page's, and are cut from each page. What an element declares itself to be (nav, footer, an advert
-by its class, an article) sets its importance outright, as a host with one page has no statistics.
+the page's, and are cut from each page. What an element declares itself to be (nav, footer, an article, a
+container whose class names nothing but an advert) sets its importance outright, as a host with one
+page has no statistics. Ids say nothing, nor do the classes of an article's paragraphs, headings and list items.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +31,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(
-    r"(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I
+    r"(class|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no markup.
@@ -50,7 +52,8 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-#: Elements that are never the page's text, by tag, role, or a word of their class or id.
+#: Elements that are never the page's text: by tag, by role, or, if they only hold other elements, by a class
+#: name all of whose words say so (the filling words say nothing).
 NOISE_TAGS = frozenset(
     "head nav footer aside form script style noscript template iframe svg button select textarea"
     " menu dialog object embed canvas audio video datalist input label fieldset search xmp noframes"
@@ -67,6 +70,7 @@ NOISE_WORDS = frozenset(
     " share sharing social related newsletter subscribe subscription popup modal overlay widget"
     " login signup toolbar pagination pager".split()
 )
+FILLING = frozenset("area block bottom box container content inner item left list outer panel right section top wrap wrapper".split())
 MAIN = frozenset(("article", "main"))
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th".split())
 
@@ -74,11 +78,11 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th".split())
 class Element:
     __slots__ = ("tag", "name", "noise", "children")
 
-    def __init__(self, tag: str, attributes: str):
+    def __init__(self, tag: str, attributes: str, inside: bool = False):
         self.tag, self.name, self.noise = tag, tag, tag in NOISE_TAGS
         self.children: list = []
         if attributes:
-            words = []
+            names: list[str] = []
             for key, value in ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key == "role":
@@ -86,11 +90,16 @@ class Element:
                 elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                     self.noise = True
                 else:
-                    words += re.split(r"[\W_]+", value)
-                    if key == "class":
-                        self.name = tag + "." + re.sub(r"\d+", "0", value)
-            if tag not in ("html", "body", *MAIN):
-                self.noise |= not NOISE_WORDS.isdisjoint(words)
+                    names += value.split()
+                    self.name = tag + "." + re.sub(r"\d+", "0", value)
+            if tag not in ("html", "body", *MAIN) and not (inside and tag in PROSE):
+                self.noise |= any(map(says_noise, names))
+
+
+def says_noise(name: str) -> bool:
+    """Whether a class name speaks of nothing but noise: ``ad-box`` does, ``menu-of-dishes`` does not."""
+    words = {w for w in re.split(r"[\W_]+", name) if w}
+    return words <= NOISE_WORDS | FILLING and not words <= FILLING
 
 
 def parse(page: str | None) -> Element:
@@ -99,6 +108,12 @@ def parse(page: str | None) -> Element:
     page = page or ""
     root = Element("html", "")
     stack, at = [root], 0
+    open_tags: Counter[str] = Counter()  # of the stack, but for the root: nothing is sought that is not open
+
+    def close_from(k: int) -> None:
+        open_tags.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+
     while at < len(page):
         m = TOKEN.match(page, at)
         at = m.end()
@@ -107,37 +122,37 @@ def parse(page: str | None) -> Element:
             tag = tag.lower()
             if tag == "html":
                 continue
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and open_tags["p"]:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
-                        del stack[k:]
+                        close_from(k)
                         break
                     if stack[k].tag in BLOCK:
                         break
-            if tag in SIBLINGS:
+            if tag in SIBLINGS and any(open_tags[x] for x in SIBLINGS[tag][0]):
                 ends, within = SIBLINGS[tag]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag in within:
                         break
                     if stack[k].tag in ends:
-                        del stack[k:]
+                        close_from(k)
                         if tag != "tr" or stack[-1].tag not in ends:
                             break
             if tag == "body":
-                del stack[1:]
-            element = Element(tag, attributes)
+                close_from(1)
+            element = Element(tag, attributes, any(open_tags[x] for x in MAIN))
             stack[-1].children.append(element)
             if tag in RAW:
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
                 at = close.start() if close else len(page)
+            if tag in RAW or tag not in VOID and not attributes.endswith("/"):
                 stack.append(element)
-            elif tag not in VOID and not attributes.endswith("/"):
-                stack.append(element)
+                open_tags[tag] += 1
         elif end_tag is not None:
             end_tag = end_tag.lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_tags[end_tag] else ():
                 if stack[k].tag == end_tag:
-                    del stack[k:]
+                    close_from(k)
                     break
                 if stack[k].tag in BLOCK and end_tag not in BLOCK:
                     break
@@ -156,29 +171,39 @@ def style_nodes(root: Element) -> dict[int, tuple[int, int]]:
     """path -> (presentation, content) of a page's block elements that their kind does not settle.
 
     Elements of one path are one node: its presentation is the row of their children's names, equal
-    neighbours once; its content is their text.
+    neighbours once; its content is their texts. Paths go down and contents come up by hashes of hashes, so
+    the work is that of the page's length, however deep it is.
     """
-    found: dict[int, tuple[list[str], list[str]]] = {}
-    work = [(root, "", False)]
-    order = []
+    order: list[tuple[Element, int, bool]] = []
+    work = [(root, 0, False)]
     while work:
         element, path, inside = work.pop()
-        path = f"{path}/{element.name}"
+        path = hashed(f"{path}/{element.name}")
         inside = inside or element.tag in MAIN
         order.append((element, path, inside))
+        if not element.noise:
+            work += [(x, path, inside) for x in reversed(element.children) if isinstance(x, Element)]
+    found: dict[int, tuple[list[str], list[str]]] = {}
+    says: dict[int, str] = {}
+    for element, path, inside in reversed(order):  # children before their parents
         if element.noise:
             continue
-        work += [(x, path, inside) for x in reversed(element.children) if isinstance(x, Element)]
-    for element, path, inside in order:
-        if element.noise or not free(element, inside) or element.tag not in BLOCK:
+        parts = [
+            " ".join(x.split()) if isinstance(x, str) else says.get(id(x), "") for x in element.children
+        ]
+        parts = [x for x in parts if x]
+        says[id(element)] = parts[0] if len(parts) == 1 else f"#{hashed(chr(0).join(parts))}" if parts else ""
+        if not free(element, inside) or element.tag not in BLOCK:
             continue
-        names, texts = found.setdefault(hashed(path), ([], []))
+        names, texts = found.setdefault(path, ([], []))
+        texts.append(says[id(element)])
+        here = []
         for x in element.children:
             name = x.name if isinstance(x, Element) else "#"
-            if not names or names[-1] != name:
-                names.append(name)
-        texts.append(" ".join(" ".join(text_of(element)).split()))
-    return {k: (hashed(" ".join(a)), hashed(" ".join(b))) for k, (a, b) in found.items()}
+            if not here or here[-1] != name:
+                here.append(name)
+        names.append(" ".join(here))
+    return {k: (hashed(chr(0).join(a)), hashed(chr(0).join(b))) for k, (a, b) in found.items()}
 
 
 def free(element: Element, inside: bool) -> bool:
@@ -188,21 +213,11 @@ def free(element: Element, inside: bool) -> bool:
     )
 
 
-def text_of(element: Element) -> Iterator[str]:
-    work: list = [element]
-    while work:
-        x = work.pop()
-        if isinstance(x, str):
-            yield x
-        elif not x.noise:
-            work += reversed(x.children)
-
-
 def main_text(root: Element, cut: frozenset[int] = frozenset()) -> str:
     """The blocks of a page in order, a line each, without noise and the paths that are cut."""
     blocks: list[list[str]] = [[]]
     has_main = any_main(root)
-    work: list = [(root, "", False)]
+    work: list = [(root, 0, False)]
     while work:
         x, path, inside = work.pop()
         if x is None:
@@ -219,12 +234,13 @@ def main_text(root: Element, cut: frozenset[int] = frozenset()) -> str:
             inside = inside or x.tag in MAIN
             if x.noise or (x.tag == "header" and not inside):
                 continue
-            path = f"{path}/{x.name}"
-            if cut and x.tag in BLOCK and free(x, inside) and hashed(path) in cut:
-                continue
+            if cut:
+                path = hashed(f"{path}/{x.name}")
+                if path in cut and x.tag in BLOCK and free(x, inside):
+                    continue
             if x.tag in BLOCK:
                 blocks.append([])
-                work.append((None, "", False))
+                work.append((None, 0, False))
             work += [(c, path, inside) for c in reversed(x.children)]
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
@@ -232,14 +248,14 @@ def main_text(root: Element, cut: frozenset[int] = frozenset()) -> str:
 
 def any_main(root: Element) -> bool:
     """Whether the page has an article or main element with text in it that is not noise."""
-    work = [root]
+    work: list = [(root, False)]
     while work:
-        x = work.pop()
-        if x.noise:
-            continue
-        if x.tag in MAIN and any(t.strip() for t in text_of(x)):
-            return True
-        work += [c for c in x.children if isinstance(c, Element)]
+        x, inside = work.pop()
+        if isinstance(x, str):
+            if inside and x.strip():
+                return True
+        elif not x.noise:
+            work += [(c, inside or x.tag in MAIN) for c in x.children]
     return False
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import time
 from pathlib import Path
 
 import numpy as np
@@ -320,6 +321,29 @@ def test_main_text(page, text):
     assert style_tree.main_text(style_tree.parse(page)) == text
 
 
+@pytest.mark.parametrize("part", [
+    '<h2 id="social-history">T</h2>', '<p id="share-prices">T</p>', '<h2 id="notice">T</h2>', '<p class="notice">T</p>',
+    '<ul class="menu-of-dishes"><li>T</ul>', '<div class="article-header"><h1>T</h1></div>', '<div id="comments">T</div>',
+])
+def test_what_an_article_says_stays(part):
+    page = f'<body><div class="ad">no</div><article>{part}<div class="ad-box">no</div><p>x</p></article>'
+    assert style_tree.main_text(style_tree.parse(page)) == "T\nx"
+
+
+def test_a_page_without_an_article_keeps_its_text():
+    page = '<body><div class="related-topics">only <b>this</b></div><p class="cookie-notice">no</p><div class="comments">no'
+    assert style_tree.main_text(style_tree.parse(page)) == "only this"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20000 + "t", "<div class=a>" * 20000 + "</section>" * 20000, "<b>" * 20000 + "<li>x" * 9999])
+def test_deep_pages_take_time_by_their_length(page):
+    start = time.monotonic()
+    tree = style_tree.parse(page)
+    nodes = style_tree.style_nodes(tree)
+    style_tree.main_text(tree, frozenset(nodes))
+    assert time.monotonic() - start < 10
+
+
 # 10
 
 
