@@ -25,6 +25,12 @@ TURN = T.StructType([
     T.StructField("text", T.StringType()),
 ])
 
+EVENT = T.StructType([
+    T.StructField("ts", T.TimestampNTZType()),
+    T.StructField("event_type", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+])
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -604,6 +604,17 @@ SELECT mode, count(*) AS n_calls, sum(ms)::DOUBLE / count(ms) AS mean_ms,
        quantile_cont(ms, 0.5)::DOUBLE AS p50_ms, quantile_cont(ms, 0.9)::DOUBLE AS p90_ms,
        quantile_cont(ms, 0.99)::DOUBLE AS p99_ms
 FROM calls GROUP BY mode""",
+    "latency_stream": """
+WITH calls AS (SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type AS mode, floor(value * 37)::BIGINT AS ms
+               FROM events),
+rounded AS (SELECT start, mode, CASE WHEN ms > 0 THEN (ms >> greatest(length(bin(ms)) - 7, 0)::BIGINT)
+                                                      << greatest(length(bin(ms)) - 7, 0)::BIGINT ELSE ms END AS bucket
+            FROM calls),
+placed AS (SELECT *, row_number() OVER (PARTITION BY start, mode ORDER BY bucket) AS place,
+                  count(*) OVER (PARTITION BY start, mode) AS n FROM rounded)
+SELECT start, mode, max(n) AS n_calls, min(bucket) FILTER (place >= ceil(0.5::DOUBLE * n)) AS p50_ms,
+       min(bucket) FILTER (place >= ceil(0.9::DOUBLE * n)) AS p90_ms,
+       min(bucket) FILTER (place >= ceil(0.99::DOUBLE * n)) AS p99_ms FROM placed GROUP BY start, mode""",
     "matched_predictions": f"WITH {_PREDICTIONS} SELECT * FROM matched",
     "scored_items": f"""
 WITH {_SCORED} SELECT conv_id, turn, char_similarity, exact, partial, status FROM scored""",

@@ -86,6 +86,7 @@ from tandem.sources.writers import (
 )
 from tandem.streaming.append import stream_append
 from tandem.streaming.corpus_table import append_batch, compact, read_corpus, stream_grow
+from tandem.streaming.latency import latency_quantiles, read_latencies, stream_latencies
 from tandem.streaming.serve import read_side, stream_job, stream_sides
 
 SEED = 42
@@ -695,6 +696,18 @@ def request_sides(spark, sf):
     )
 
 
+def latency_stream(spark, sf):
+    """Events as a stream of calls: hourly quantiles by mode, from counts by bucket."""
+    events = R.stream(spark, sf, "events", R.EVENT)
+    calls = events.select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"),
+        F.floor(F.col("value") * 37).alias("latence_ms"),
+    )
+    path = fresh_path(spark, "latencies")
+    stream_latencies(calls, path, fresh_path(spark, "checkpoint")).awaitTermination()
+    return latency_quantiles(read_latencies(spark, path)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -714,6 +727,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rejected_requests, chat, translate, latency,
         matched_predictions, scored_items, benchmark_report, benchmark_verdict, scores_by_kind,
         smoke, dataset_profile, corpus_stream, request_stream,
-        translate_stream, reject_stream, request_sides,
+        translate_stream, reject_stream, request_sides, latency_stream,
     )
 }
