@@ -437,9 +437,16 @@ SELECT conv_id,
        '<|begin_of_text|>'
        || string_agg('<|start_header_id|>' || coalesce(role, '') || '<|end_header_id|>' || chr(10)
                      || coalesce(text, '') || '<|eot_id|>', '' ORDER BY turn) AS rendered
-FROM (SELECT conv_id, turn, role, CASE WHEN turn = 3 THEN NULL ELSE text END AS text
-      FROM conversations WHERE NOT (conv_id % 7 = 2 AND turn = 0))
-GROUP BY conv_id""",
+FROM conversations GROUP BY conv_id""",
+    "render_in_parts": """
+WITH turns AS (SELECT conv_id, turn, '<|start_header_id|>' || coalesce(role, '') || '<|end_header_id|>' || chr(10)
+                      || coalesce(text, '') || '<|eot_id|>' AS t FROM conversations),
+placed AS (SELECT *, coalesce(sum(strlen(t)) OVER (PARTITION BY conv_id ORDER BY turn, t
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 400 AS p FROM turns),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS part FROM placed)
+SELECT conv_id, part::INT AS part,
+       CASE WHEN part = 0 THEN '<|begin_of_text|>' ELSE '' END || string_agg(t, '' ORDER BY turn, t) AS rendered
+FROM numbered GROUP BY conv_id, part""",
     "length_budget_report": f"""
 WITH {_EXAMPLES}, counted AS (
   SELECT kind, len({_words('prompt || completion')})::INT AS n FROM examples)

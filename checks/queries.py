@@ -22,6 +22,7 @@ from tandem.operators.examples import (
     expand,
     length_budget,
     render_conversations,
+    render_parts,
     with_pair_id,
     with_text,
 )
@@ -197,11 +198,13 @@ def text_modes(spark, sf):
 
 
 def render(spark, sf):
-    """Whole conversations, some without their first turn, and with a turn that has no text."""
-    turns = R.table(spark, sf, "conversations").filter("not (conv_id % 7 = 2 and turn = 0)")
-    return render_conversations(
-        turns.withColumn("text", F.when(F.col("turn") == 3, None).otherwise(F.col("text")))
-    )
+    """Whole conversations, every turn of them."""
+    return render_conversations(R.table(spark, sf, "conversations"))
+
+
+def render_in_parts(spark, sf):
+    """Whole conversations in parts of some turns."""
+    return render_parts(R.table(spark, sf, "conversations"), part_bytes=400, block=3)
 
 
 def length_budget_report(spark, sf):
@@ -714,7 +717,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         corpus_clean, corpus_stats, corpus_composition, novel_pairs, min_length,
         benchmark_coverage, benchmark_coverage_rate, benchmark_passages,
         benchmark_passage_coverage, text_measures,
-        examples, text_modes, render, length_budget_report, packed_examples,
+        examples, text_modes, render, render_in_parts, length_budget_report, packed_examples,
         shuffle, shuffle_copies, cap_pairs, cap_copies, split_rows, split_by_position,
         side_groups, leakage_sides,
         split_pairs, split_threshold, leakage_rows, leakage_pairs, split_report, split_totals,

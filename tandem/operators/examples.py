@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tandem.functions import fixed_values as V
@@ -18,6 +19,8 @@ from tandem.functions.templates import (
 from tandem.functions.text import content_id, word_count
 
 KINDS = ("forward", "reverse", "question")
+#: Bytes of a part of a long conversation, and turn numbers that are ranked together.
+PART_BYTES, TURN_BLOCK = 1 << 20, 1024
 
 
 def with_pair_id(df: DataFrame) -> DataFrame:
@@ -83,6 +86,42 @@ def render_conversations(df: DataFrame) -> DataFrame:
     return grouped.select("conv_id", F.concat(F.lit(V.BEGIN_OF_TEXT), body).alias("rendered"))
 
 
+def render_parts(df: DataFrame, part_bytes: int = PART_BYTES, block: int = TURN_BLOCK) -> DataFrame:
+    """(conv_id, part, rendered): the same markup in parts of about ``part_bytes``, for conversations that
+    no task could hold. Parts one after the other, from 0, are the text of ``render_conversations``.
+
+    A part begins with the turn that starts at or past the next multiple of ``part_bytes``, so it is longer
+    by less than its last turn; no turn is cut. Turns are ranked in blocks of ``block`` turn numbers, each
+    in a task of its own; what joins blocks is a table of their sizes, the only thing of which a long
+    conversation has many rows in one task, a row for ``block`` turns. The input is read twice.
+    """
+    text = chat_turn(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    rows = df.select(
+        "conv_id", "turn", text.alias("rendered"), F.floor(F.col("turn") / block).alias("_block")
+    ).withColumn("_bytes", F.octet_length("rendered").cast("long"))
+    earlier = W.partitionBy("conv_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = rows.groupBy("conv_id", "_block").agg(F.sum("_bytes").alias("_size")).select(
+        F.col("conv_id").alias("_conv"), F.col("_block").alias("_in"),
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_begin"),
+    )
+    here = W.partitionBy("conv_id", "_block").orderBy("turn", "rendered").rowsBetween(W.unboundedPreceding, -1)
+    same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_block").eqNullSafe(F.col("_in"))
+    placed = rows.join(blocks, same).withColumn(
+        "_start", F.col("_begin") + F.coalesce(F.sum("_bytes").over(here), F.lit(0))
+    )
+    parts = placed.groupBy("conv_id", F.floor(F.col("_start") / part_bytes).alias("_part")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "rendered"))).alias("turns")
+    )
+    # A turn longer than a part leaves numbers out; parts are numbered without gaps.
+    order = W.partitionBy("conv_id").orderBy("_part")
+    body = F.array_join(F.col("turns")["rendered"], "")
+    number = F.row_number().over(order) - 1
+    return parts.withColumn("part", number).select(
+        "conv_id", "part",
+        F.when(F.col("part") == 0, F.concat(F.lit(V.BEGIN_OF_TEXT), body)).otherwise(body).alias("rendered"),
+    )
+
+
 def length_budget(
     df: DataFrame, limit: int = V.MAX_SEQ_LENGTH, tokens: Column | None = None
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from tandem.operators.examples import (
     expand,
     length_budget,
     render_conversations,
+    render_parts,
     with_pair_id,
     with_text,
 )
@@ -87,3 +88,16 @@ def test_serving_prompt_names_the_assistant():
     text = P.serving_prompt("{x}")
     assert text.startswith("Tu es {x}, un assistant expert") and "{name}" not in text
     assert P.serving_prompt() == P.serving_prompt(V.ASSISTANT_NAME)
+
+
+def test_parts_of_a_conversation_are_the_whole(spark):
+    rows = [(1, k, "user" if k % 2 else None, "é" * (k * 37 % 200) if k % 11 else None) for k in range(500)]
+    rows += [(2, 0, "user", "x" * 5000), (2, 1, "user", "y"), (None, 4, "user", "a"), (None, 2, "user", "b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    whole = {r.conv_id: r.rendered for r in render_conversations(df).collect()}
+    for block in (1, 7, 1024):
+        parts = {}
+        for r in render_parts(df, 1000, block).collect():
+            parts.setdefault(r.conv_id, {})[r.part] = r.rendered
+        assert {c: "".join(p[k] for k in range(len(p))) for c, p in parts.items()} == whole
+        assert len(parts[1]) > 30 and max(len(x.encode()) for x in parts[1].values()) < 1000 + 500
