@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tandem.llm.common import BLANKS, let, word_count, words
+from tandem.llm.common import BLANKS, let
 
 SYMBOLS = "#*$%&|<>"
 #: Words of a window; three doublings make it.
@@ -57,6 +57,11 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) < WINDOW, F.lit(0).cast("long")).otherwise(let(eight, of_windows))
 
 
+def plain_words(text: Column) -> Column:
+    """The words of a text, as ``words`` gives them, without a pattern."""
+    return F.array_remove(F.split(F.translate(text, BLANKS[1:], " " * (len(BLANKS) - 1)), " "), "")
+
+
 def base_counts(text: Column) -> Column:
     """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); all 0 for null."""
     text = F.coalesce(text, F.lit(""))
@@ -77,31 +82,46 @@ def base_counts(text: Column) -> Column:
             let(hashes, repeated_words).alias("n_repeat_words"),
         )
 
-    return let(words(text), of)
+    return let(plain_words(text), of)
+
+
+def normal_lines(text: Column) -> Column:
+    """The lines of a text: lower case, digits as 0, white space as one blank. A pattern is only run on
+    lines in which blanks follow each other."""
+    blanks = "\t\x0b\f\r"
+    folded = F.translate(F.lower(text), "123456789" + blanks, "0" * 9 + " " * len(blanks))
+    single = F.transform(
+        F.split(folded, "\n"),
+        lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, "  +", " ")).otherwise(x),
+    )
+    return F.transform(single, lambda x: F.btrim(x))
 
 
-def normal_line(line: Column) -> Column:
-    """Lower case, digits as 0, white space as one blank."""
-    folded = F.translate(F.lower(line), "123456789", "000000000")
-    return F.btrim(F.regexp_replace(folded, "[ \t\x0b\f\r]+", " "))
+def blank_words(line: Column) -> Column:
+    """Words of a line that has one blank between two of them and is not empty."""
+    return F.length(line) - F.length(F.translate(line, " ", "")) + 1
 
 
 def document_lines(docs: DataFrame, host: str) -> DataFrame:
     """(doc_id, version, at, line, n, of): the lines with a word, hashed with their host; ``n`` of the
     text's ``of`` words."""
-    lines = F.transform(F.split("text", "\n"), normal_line)
+
+    def all_words(lines: Column) -> Column:
+        return F.aggregate(
+            lines, F.lit(0).cast("long"), lambda n, x: n + F.when(F.length(x) > 0, blank_words(x)).otherwise(0)
+        )
+
     # What is known of a whole text is computed before its lines become rows.
     whole = docs.select("doc_id", F.col(host).alias("host"), "text").select(
-        "doc_id", "host", F.xxhash64("text", "host").alias("version"),
-        word_count(F.col("text")).alias("of"), lines.alias("lines"),
+        "doc_id", "host", F.xxhash64("text", "host").alias("version"), normal_lines(F.col("text")).alias("lines")
     )
-    each = whole.select(
+    each = whole.withColumn("of", all_words(F.col("lines"))).select(
         "doc_id", "host", "version", "of", F.posexplode("lines").alias("at", "words")
     )
     return each.filter(F.length("words") > 0).select(
         "doc_id", "version", "at", "of",
         F.xxhash64("host", "words").alias("line"),
-        (F.length("words") - F.length(F.translate("words", " ", "")) + 1).alias("n"),
+        blank_words(F.col("words")).alias("n"),
     )
 
 
