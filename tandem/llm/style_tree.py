@@ -70,7 +70,10 @@ NOISE_WORDS = frozenset(
     " share sharing social related newsletter subscribe subscription popup modal overlay widget"
     " login signup toolbar pagination pager".split()
 )
-FILLING = frozenset("area block bottom box container content inner item left list outer panel right section top wrap wrapper".split())
+FILLING = frozenset(
+    "area bar block bottom box col container content global inner item left list main outer page panel reader"
+    " readers right row section site strip top user users wrap wrapper".split()
+)
 MAIN = frozenset(("article", "main"))
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th".split())
 
