@@ -217,7 +217,8 @@ def packed_examples(spark, sf):
     counted = stage(length_budget(with_text(_turn_examples(spark, sf))).select(*keys, "text", "n_tokens"), "counted")
     packs = stage(pack_examples(counted, keys), "packs")
     texts = packed_texts(counted, packs, keys)
-    report = packing_report(packs).crossJoin(texts.agg(F.sum(F.length("text")).alias("n_chars")))
+    chars = texts.agg(F.sum(F.length("text")).alias("n_chars"))
+    report = packing_report(packs).withColumn("n_chars", chars.scalar())
     least = F.ceil((F.col("n_tokens") - F.col("n_over")) / 512)
     return report.select(
         "n_examples", "n_tokens", "n_over", "n_chars", (F.col("fullest") <= 512).alias("within"),
@@ -395,7 +396,7 @@ def report_versions(spark, sf):
     publish_version(scored.filter("turn < 3"), path)
     publish_version(scored, path)
     details, summary = read_report(spark, path)
-    return summary.crossJoin(details.agg(F.count(F.lit(1)).alias("n_details")))
+    return summary.withColumn("n_details", details.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
 def split_files(spark, sf):

@@ -110,9 +110,9 @@ def split_groups(
     valid_at, test_at = _cut_positions(F.col("_total"), train, valid)
     parts = [F.when(n > 0, n) for n in (test_at - valid_at, F.col("_total") - test_at)]
     bounds = total.select(
-        valid_at.alias("_valid_at"), test_at.alias("_test_at"), F.least(*parts, "_total").alias("_most")
+        F.struct(valid_at.alias("_valid_at"), test_at.alias("_test_at"), F.least(*parts, "_total").alias("_most")).alias("_b")
     )
-    placed = sizes.join(F.broadcast(bounds))  # one row
+    placed = sizes.withColumn("_b", bounds.scalar()).select(*sizes.columns, "_b.*")
     large = placed.filter("_rows > _most").withColumn(
         "_start",
         F.coalesce(
@@ -127,9 +127,9 @@ def split_groups(
     hashed = _hashed(placed.filter("_rows <= _most"), seed, ["group_id"], digits)
     before = W.partitionBy("_bucket").orderBy("_hash", "group_id").rowsBetween(W.unboundedPreceding, -1)
     offsets = _bucket_offsets(hashed, F.sum("_rows")).select("_bucket", "_offset")
-    starts = hashed.join(F.broadcast(offsets), "_bucket").join(F.broadcast(first)).select(
+    starts = hashed.join(F.broadcast(offsets), "_bucket").select(
         F.struct("_hash", "group_id").alias("_key"), "_valid_at", "_test_at",
-        (F.col("_first") + F.col("_offset") + F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("_start"),
+        (first.scalar() + F.col("_offset") + F.coalesce(F.sum("_rows").over(before), F.lit(0))).alias("_start"),
     )
     cuts = starts.agg(
         F.struct(*[
