@@ -133,14 +133,32 @@ def signatures(shingle_set: np.ndarray, percent: int = PERCENT) -> Iterator[tupl
             yield band, key[np.lexsort((key, -count))[: differ + 1]].view(np.int64)
 
 
-def sketch(shingle_set: np.ndarray, band: int) -> bytes:
-    """A byte for each of 2 ** (band + 1) fine segments, 64 at least. Two sets differ in no fewer
-    shingles than bytes, so bytes can rule out a link but never hide one."""
-    size = max(64, 2 ** (band + 1))
-    token = mix(shingle_set ^ STEPS[2])
-    segment = (token % np.uint64(size)).astype(np.int64)
-    value = ((token >> np.uint64(40)) & np.uint64(255)).astype(np.float64)
-    return np.bincount(segment, value, size).astype(np.int64).astype(np.uint8).tobytes()
+def sketch(shingle_set: np.ndarray) -> bytes:
+    """Whether each of a power of two of fine segments, 256 at least, holds an odd number of shingles, a
+    bit each. Two sets differ in no fewer shingles than bits, so bits can rule out a link but never hide
+    one. The sketch of half as many segments is the exclusive or of both halves."""
+    size = max(256, 4 << max(0, len(shingle_set).bit_length() - 1))
+    segment = (mix(shingle_set ^ STEPS[2]) % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(segment, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def alike_length(sketches: list[bytes], to: int) -> np.ndarray:
+    """A row for each sketch, brought to ``to`` bytes."""
+    out = np.empty((len(sketches), to), np.uint8)
+    lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for length in np.unique(lengths):
+        here = np.flatnonzero(lengths == length)
+        of = np.frombuffer(b"".join(sketches[i] for i in here), np.uint8).reshape(len(here), length)
+        while of.shape[1] > to:
+            half = of.shape[1] // 2
+            of = of[:, :half] ^ of[:, half:]
+        out[here] = of
+    return out
+
+
+def differences(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many bits rows differ."""
+    return np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
@@ -170,15 +188,15 @@ def _columns(batches: list[pa.RecordBatch]) -> list[np.ndarray]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (sig, band, node) sorted by sig and node: pairs (a, b), and the members of long lists.
+    """From (sig, node) sorted by both: pairs (a, b), and the members of long lists.
 
     Short lists give all their pairs. Long ones give pairs with their first three members and with
     the member before, so as many rows as members; what that leaves out is for ``_across``.
     """
-    for sig, band, node in _buckets(batches):
+    for sig, node in _buckets(batches):
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, band, node = sig[new], band[new], node[new]
+        sig, node = sig[new], node[new]
         start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
         size = np.diff(np.concatenate([start, [len(sig)]]))
         first, of = np.repeat(start, size), np.repeat(size, size)
@@ -200,11 +218,10 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 pa.array(np.repeat([False, True], [n, m])),
                 pa.array(np.concatenate([np.zeros(n, np.int64), sig[long]])),
-                pa.array(np.concatenate([np.zeros(n, np.int32), band[long]]).astype(np.int32)),
                 pa.array(np.concatenate([pairs[:, 0], node[long]])),
                 pa.array(np.concatenate([pairs[:, 1], node[long]])),
             ],
-            names=["member", "sig", "band", "a", "b"],
+            names=["member", "sig", "a", "b"],
         )
 
 
@@ -215,7 +232,8 @@ def _across(percent: int):
         for sig, node, root, n, sketches in _buckets(batches):
             start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             for lo, hi in zip(start, [*start[1:], len(sig)]):
-                of = np.frombuffer(b"".join(sketches[lo:hi]), np.uint8).reshape(hi - lo, -1)
+                some = sketches[lo:hi].tolist()
+                of = alike_length(some, min(map(len, some)))
                 size, root_of, node_of = n[lo:hi], root[lo:hi], node[lo:hi]
                 step = max(1, (1 << 18) // (hi - lo))
                 for k in range(0, hi - lo, step):
@@ -230,8 +248,7 @@ def _across(percent: int):
                     many = max(1, (1 << 24) // of.shape[1])
                     for at in range(0, len(x), many):
                         p, q = x[at : at + many], y[at : at + many]
-                        differ = np.count_nonzero(of[p] != of[q], axis=1)
-                        near.append(differ <= (100 - percent) * (size[p] + size[q]) // (100 + percent))
+                        near.append(differences(of[p], of[q]) <= most_different(size[p] + size[q], percent))
                     keep = np.concatenate(near) if near else np.zeros(0, bool)
                     a, b = node_of[x[keep]], node_of[y[keep]]
                     yield pa.RecordBatch.from_arrays(
@@ -241,6 +258,32 @@ def _across(percent: int):
     return run
 
 
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The candidate pairs (a, b, shared) that sizes and sketches (node, n, sketch) do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (batch.column(k).to_numpy() for k in (3, 5))
+            one, two = (batch.column(k).to_pylist() for k in (4, 6))
+            may = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+            shorter = np.array([min(len(x), len(y)) for x, y in zip(one, two)], np.int64)
+            for length in np.unique(shorter[may]):
+                here = np.flatnonzero(may & (shorter == length))
+                left, right = (alike_length([side[i] for i in here], int(length)) for side in (one, two))
+                may[here] = differences(left, right) <= most_different(n_a[here] + n_b[here], percent)
+            yield batch.select(["a", "b", "shared"]).filter(pa.array(may))
+
+    both = pairs
+    for side in "ab":
+        both = both.join(
+            sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")),
+            side,
+        )
+    return both.select("a", "b", "shared", "n_a", "s_a", "n_b", "s_b").mapInArrow(
+        run, "a long, b long, shared long"
+    )
+
+
 def _sets(docs: DataFrame, size: int, schema: str, rows) -> DataFrame:
     """``rows(key, set)`` of each row (key, text), in arrays."""
 
@@ -256,25 +299,29 @@ def _sets(docs: DataFrame, size: int, schema: str, rows) -> DataFrame:
 
 
 def members(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, node): each row's number of shingles, and the name of its set, null if empty."""
+    """(doc_id, n, node, sketch): each row's number of shingles, and the name and the sketch of its set,
+    null if empty."""
 
     def rows(key, sets):
         names = [identity(s) if len(s) else None for s in sets]
         return pa.RecordBatch.from_arrays(
-            [key, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64())],
-            names=["doc_id", "n", "node"],
+            [
+                key, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()),
+                pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
+            ],
+            names=["doc_id", "n", "node", "sketch"],
         )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _sets(docs.select("doc_id", "text"), size, f"doc_id {kind}, n long, node long", rows)
+    return _sets(docs.select("doc_id", "text"), size, f"doc_id {kind}, n long, node long, sketch binary", rows)
 
 
 def index(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(sig, band, node): the index keys of each distinct set; a task gives a set once, or seldom more."""
+    """(sig, node): the index keys of each distinct set; a task gives a set once, or seldom more."""
     seen: set[int] = set()
 
     def rows(key, sets):
-        sig, band, node = [], [], []
+        sig, node = [], []
         for s in sets:
             name = identity(s)
             if not len(s) or name in seen:
@@ -282,21 +329,19 @@ def index(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataF
             if len(seen) >= SEEN:
                 seen.clear()
             seen.add(name)
-            for b, keys in signatures(s, percent):
+            for _, keys in signatures(s, percent):
                 sig.append(keys)
-                band.append(np.full(len(keys), b, np.int32))
                 node.append(np.full(len(keys), name, np.int64))
         none = np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.concatenate([none, *sig])),
-                pa.array(np.concatenate([none, *band]).astype(np.int32)),
                 pa.array(np.concatenate([none, *node])),
             ],
-            names=["sig", "band", "node"],
+            names=["sig", "node"],
         )
 
-    return _sets(docs.select("doc_id", "text"), size, "sig long, band int, node long", rows)
+    return _sets(docs.select("doc_id", "text"), size, "sig long, node long", rows)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -312,6 +357,31 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def settled(pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) that join all that the candidate pairs (a, b, shared) can join, and their components.
+
+    Each set is first held against one partner, that with which it shares most index keys, so whole
+    sets are moved once a set and not once a pair. Of the other pairs only those between the components
+    that this leaves are verified.
+    """
+    likeliest = pairs.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b")
+    near = stage(verified(likeliest, sets, percent), "near")
+    known = components(near)
+    left, right = (
+        known.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")) for side in "ab"
+    )
+    others = pairs.join(likeliest, ["a", "b"], "left_anti").join(left, "a", "left").join(right, "b", "left")
+    between = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    others = stage(others.filter(between).select("a", "b"), "others")
+    if others.isEmpty():
+        return near, known
+    more = stage(verified(others, sets, percent), "near")
+    if more.isEmpty():
+        return near, known
+    near = near.unionByName(more)
+    return near, components(near)
+
+
 def links(docs: DataFrame, of: DataFrame, size: int, percent: int) -> DataFrame:
     """(node, root) of all sets that link with another; ``of`` is what ``members`` returns.
 
@@ -319,77 +389,66 @@ def links(docs: DataFrame, of: DataFrame, size: int, percent: int) -> DataFrame:
     missed.
     """
     keys = index(docs, size, percent).repartition("sig").sortWithinPartitions("sig", "node")
-    found = stage(
-        keys.mapInArrow(_candidates, "member boolean, sig long, band int, a long, b long"), "candidates"
+    found = stage(keys.mapInArrow(_candidates, "member boolean, sig long, a long, b long"), "candidates")
+    candidates = stage(
+        found.filter("not member").groupBy("a", "b").agg(F.count("*").alias("shared")), "pairs"
     )
-    pairs = stage(found.filter("not member").select("a", "b").distinct(), "pairs")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    first = of.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = stage(first.join(nodes, "node", "left_semi").select("doc_id").distinct(), "wanted")
-
-    def rows(key, sets):
-        names = [identity(s) for s in sets]
-        items = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(items))],
-            names=["node", "items"],
+    distinct = of.filter("node is not null")
+    first = distinct.groupBy("node").agg(F.min("doc_id").alias("of_doc"))
+
+    def sketches(nodes: DataFrame) -> DataFrame:
+        shown = distinct.select("node", "n", "sketch").join(nodes, "node", "left_semi")
+        return shown.dropDuplicates(["node"])
+
+    def sets(pairs: DataFrame) -> DataFrame:
+        """(node, items) of the sets in the pairs, from a document of each."""
+        nodes = stage(_ends(pairs), "ends")
+        wanted = stage(first.join(nodes, "node", "left_semi").select("of_doc").distinct(), "wanted")
+        texts = docs.select("doc_id", "text").join(
+            wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_semi"
         )
+        # A doc_id may be on several rows; one set each is kept.
+        made = _sets(texts, size, "node long, items array<long>", _items)
+        return stage(made.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
-    wanted = wanted.withColumnRenamed("doc_id", "of_doc")
-    texts = docs.select("doc_id", "text").join(
-        wanted, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left_semi"
-    )
-    sets = _sets(texts, size, "node long, items array<long>", rows)
-    # A doc_id may be on several rows; one set each is kept.
-    sets = stage(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    near = stage(verified(pairs, sets, percent), "near")
-    known = components(near)
+    seen = stage(sketches(_ends(candidates)), "sketches")
+    pairs = stage(possible(candidates, seen, percent), "possible")
+    near, known = settled(pairs, sets(pairs), percent)
 
-    long = found.filter("member").select("sig", "band", F.col("a").alias("node"))
+    long = found.filter("member").select("sig", F.col("a").alias("node"))
     long = stage(
-        long.join(known, "node", "left").select(
-            "sig", "band", "node", F.coalesce("root", "node").alias("root")
-        ),
+        long.join(known, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root")),
         "lists",
     )
     mixed = long.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     open_lists = long.join(mixed.filter("lo <> hi").select("sig"), "sig", "left_semi")
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
-                ends = some.column(2).offsets.to_numpy()
-                items = some.column(2).values.to_numpy().view(np.uint64)
-                made = [
-                    sketch(items[ends[i] : ends[i + 1]], band)
-                    for i, band in enumerate(some.column(1).to_pylist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some.column(0), some.column(1), pa.array(np.diff(ends), pa.int64()),
-                        pa.array(made, pa.binary()),
-                    ],
-                    names=["node", "band", "n", "sketch"],
-                )
-
-    # A set is sketched once a band, however many lists it is in; lists are joined with the sketches.
-    bands = open_lists.select("node", "band").distinct()
-    sketches = bands.join(sets, "node").select("node", "band", "items").mapInArrow(
-        sketched, "node long, band int, n long, sketch binary"
-    )
-    shown = open_lists.join(sketches, ["node", "band"]).select("sig", "node", "root", "n", "sketch")
+    shown = open_lists.join(seen, "node").select("sig", "node", "root", "n", "sketch")
     rest = shown.repartition("sig").sortWithinPartitions("sig").mapInArrow(
         _across(percent), "a long, b long"
     )
-    rest = stage(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = stage(rest.distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return known
-    late = stage(verified(rest, sets, percent), "late")
+    late = stage(verified(rest, sets(rest), percent), "late")
     return components(near.unionByName(late))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _items(key: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    items = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([identity(s) for s in sets], pa.int64()),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(items)),
+        ],
+        names=["node", "items"],
+    )
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``.
 
