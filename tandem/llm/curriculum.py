@@ -19,6 +19,8 @@ from tandem.sources.workspace import stage
 WEIGHTS = (5, 2, 1)
 EPOCHS = 1.5
 MOST = 2
+#: Parts of the readings of rows that are alike.
+SALTS = 64
 #: Knots in training (0 to 1) and the factor on each weight there, linear between knots: sources of
 #: the first weight lead at the start, those of the last at the end.
 SCHEDULE = ((0.0, (1.5, 1.0, 0.5)), (0.6, (1.0, 1.0, 1.0)), (1.0, (0.5, 1.0, 2.0)))
@@ -106,10 +108,11 @@ def assign(
 ) -> DataFrame:
     """(doc, size, source_size, target, taken, places), a row for each row of ``docs``.
 
-    ``doc`` holds the columns to keep, all by default; what is not kept is not shuffled. A source's rows are put in order of a hash of seed, doc_id and text and
-    read as often as its target needs, the last reading up to the target's last word: ``taken`` adds
-    up to the rounded target, and a row is taken at most ``most`` times. ``places`` has the place in
-    training of each reading, none for rows that are not read.
+    ``doc`` holds the columns to keep, all by default; what is not kept is neither written nor shuffled.
+    A source's rows are put in order of a hash of seed, doc_id and text and read as often as its target
+    needs, the last reading up to the target's last word: ``taken`` adds up to the rounded target, and a
+    row is taken at most ``most`` times. ``places`` has the place in training of each reading, none for
+    rows that are not read.
 
     Null texts have size 0; rows of size 0 are not read. Null sources are one source. Null doc_ids
     are hashed as null. Equal rows may come in any number and change places among themselves. Other
@@ -121,7 +124,8 @@ def assign(
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")).alias("draw"),
     )
-    ordered = running(rows, ["source"], ["draw", "size"], "size")
+    # Words are counted once; the sort by range reads its rows twice.
+    ordered = running(stage(rows, "sizes"), ["source"], ["draw", "size"], "size")
     targets = source_targets(ordered.select("source", "size"), weights, epochs, most)
     targets = targets.withColumnRenamed("source", "of")
     both = ordered.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
@@ -152,3 +156,44 @@ def stream(assigned: DataFrame) -> DataFrame:
     return assigned.select("doc", F.explode("places").alias("place")).orderBy(
         "place", "doc.doc_id"
     )
+
+
+def mix(
+    docs: DataFrame,
+    seed: int = 7,
+    weights: Sequence[int] = WEIGHTS,
+    epochs: float = EPOCHS,
+    most: int = MOST,
+    schedule=SCHEDULE,
+) -> DataFrame:
+    """The rows of ``docs`` in training order, with their columns, a row for each reading.
+
+    ``assign`` ranks a key of 128 bits for each row; texts are joined with the places of their keys and
+    sorted by range, once. Rows alike in all columns share a key: one of them stands for all, in
+    ``SALTS`` parts, so no task gets all their readings. Null, empty and repeated rows are taken as
+    ``assign`` says; an empty table gives none. Columns may have any names, but not be maps.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # A hash passes over nulls; whether a column is null tells their rows apart.
+    values = [x for c in columns for x in (c.isNull(), c)]
+    key = [F.xxhash64(*values).alias("one"), F.xxhash64(F.lit(seed), *values).alias("two")]
+    texts = docs.select(F.struct(*columns).alias("doc"), *key)
+    keyed = docs.select("doc_id", "text", "source", F.struct(*key).alias("key"))
+    found = assign(keyed, seed, weights, epochs, most, schedule, keep=["key"])
+    readings = stage(found.select("doc.key.*", F.posexplode("places").alias("reading", "place")), "places")
+    by = ["one", "two"]
+    alike = stage(
+        readings.filter("reading = 0").groupBy(*by).count().filter("count > 1").select(*by), "alike"
+    )
+    if alike.isEmpty():
+        read = readings.join(texts, by)
+    else:
+        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+        salted = readings.join(alike, by, "left_semi").withColumn(
+            "salt", F.pmod(F.xxhash64("place"), F.lit(SALTS).cast("long"))
+        )
+        once = texts.join(alike, by, "left_semi").dropDuplicates(by).withColumn("salt", F.explode(salts))
+        read = readings.join(alike, by, "left_anti").join(texts, by).select("place", "one", "doc").unionByName(
+            salted.join(once, [*by, "salt"]).select("place", "one", "doc")
+        )
+    return read.orderBy("place", "one").select("doc.*")

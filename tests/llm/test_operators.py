@@ -86,6 +86,21 @@ def test_mixing_is_stable_and_sorted(docs):
     assert places == sorted(places) and len(places) > 0
 
 
+def test_mix_reads_what_assign_says(spark, docs):
+    """Rows of any content and number, in the order of their places."""
+    many = docs.unionByName(docs).unionByName(docs.limit(3)).repartition(5)
+    for frame in (many, many.withColumnsRenamed({"lang": "key", "n_chars": "place"}), docs.limit(0)):
+        wanted = [(r.place, tuple(r.doc)) for r in curriculum.stream(curriculum.assign(frame)).collect()]
+        mixed = curriculum.mix(frame)
+        assert mixed.columns == frame.columns
+        got = [tuple(r) for r in mixed.collect()]
+        assert ordered(got) == ordered(r for _, r in wanted)
+        place: dict = {}
+        for p, r in wanted:
+            place.setdefault(r, []).append(p)
+        assert all(place[a][0] <= place[b][-1] for a, b in zip(got, got[1:]))
+
+
 def test_places_follow_the_schedule(spark):
     from pyspark.sql import functions as F
 
