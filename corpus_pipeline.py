@@ -60,7 +60,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in training order, a row for each time one is read."""
-    return curriculum.stream(curriculum.assign(docs.select(*COLUMNS))).select("doc.*")
+    return curriculum.mix(docs.select(*COLUMNS))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
