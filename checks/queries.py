@@ -628,6 +628,12 @@ def corpus_stream(spark, sf):
     return spark.read.schema(pairs.schema).parquet(path).select("ord", *PAIR_TEXTS)
 
 
+def _files_a_batch(spark: SparkSession, landed: str, batches: int) -> int:
+    """Files that a trigger takes so that the landed ones come in ``batches`` batches, or a few more if
+    they cannot be dealt evenly: more input makes larger batches and not more of them."""
+    return max(1, len(spark.read.schema(R.DOCUMENT).parquet(landed).inputFiles()) // batches)
+
+
 def corpus_growth(spark, sf):
     """A written corpus of curated pairs, grown by all documents in three batches or more; its keys."""
     landed, path = fresh_path(spark, "landed"), fresh_path(spark, "corpus")
@@ -636,7 +642,8 @@ def corpus_growth(spark, sf):
         arrived = documents.filter(F.col("doc_id") % 3 == part)
         arrived.write.mode("append").parquet(landed)
     write_pairs(build_corpus([("curated", R.curated_pairs(spark, sf))]), path)
-    rows = spark.readStream.schema(R.DOCUMENT).option("maxFilesPerTrigger", 1).parquet(landed)
+    files = _files_a_batch(spark, landed, 3)
+    rows = spark.readStream.schema(R.DOCUMENT).option("maxFilesPerTrigger", files).parquet(landed)
     pairs = R.document_pairs(rows)
     stream_append(pairs, path, fresh_path(spark, "checkpoint")).awaitTermination()
     return spark.read.schema(PAIR).parquet(path).select(

@@ -76,6 +76,13 @@ def dedup_pairs(df: DataFrame, order: Sequence[str] = ("pri", "ord")) -> DataFra
     return _first_by_key(df, order).drop("pair_key")
 
 
+def keyed_pairs(df: DataFrame, order: Sequence[str] = ("pri", "ord")) -> DataFrame:
+    """The rows of ``dedup_pairs`` with the ``pair_key`` that they were grouped by; one in ``df`` is
+    replaced."""
+    bare = df.drop("pair_key")
+    return _first_by_key(bare, order).select(*bare.columns, "pair_key")
+
+
 def novel_rows(
     new: DataFrame, corpus: DataFrame, order: Sequence[str] = ("ord",)
 ) -> DataFrame:

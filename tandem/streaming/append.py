@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tandem.functions.text import pair_key
-from tandem.operators.pairs import dedup_pairs
+from tandem.operators.pairs import keyed_pairs
 from tandem.sources.readers import read_optional
 from tandem.streaming.trigger import with_trigger
 
@@ -35,7 +35,7 @@ def append_novel(batch: DataFrame, corpus_path: str, order: Sequence[str] = ("or
     """
     spark = batch.sparkSession
     key = pair_key(F.col("source"), F.col("target"))
-    first = dedup_pairs(batch, order).withColumn("pair_key", key).persist()
+    first = keyed_pairs(batch, order).persist()
     corpus = read_optional(spark, lambda: spark.read.schema(_KNOWN).parquet(corpus_path), _KNOWN)
     if corpus.filter(F.col("pair_key").isNull()).isEmpty():
         keys = corpus.select("pair_key")
