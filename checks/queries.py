@@ -655,9 +655,12 @@ def corpus_compacted(spark, sf):
     """A corpus table of curated pairs, grown by all documents in batches; its keys before and after it is
     compacted for the last time."""
     landed, path = fresh_path(spark, "landed"), fresh_path(spark, "table")
-    R.table(spark, sf, "documents").select(*R.DOCUMENT.names).repartition(4, "doc_id").write.parquet(landed)
+    documents = R.table(spark, sf, "documents").select(*R.DOCUMENT.names)
+    parts = 4 * documents.rdd.getNumPartitions()  # a batch has as many files as the table has parts
+    documents.repartition(parts, "doc_id").write.parquet(landed)
     append_batch(build_corpus([("curated", R.curated_pairs(spark, sf))]).drop("pri", "origin"), path)
-    rows = spark.readStream.schema(R.DOCUMENT).option("maxFilesPerTrigger", 1).parquet(landed)
+    files = _files_a_batch(spark, landed, 4)
+    rows = spark.readStream.schema(R.DOCUMENT).option("maxFilesPerTrigger", files).parquet(landed)
     pairs = R.document_pairs(rows)
     stream_grow(pairs, path, fresh_path(spark, "checkpoint"), compact_after=3).awaitTermination()
     before = read_corpus(spark, path)

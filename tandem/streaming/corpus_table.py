@@ -11,14 +11,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
-from tandem.functions.text import pair_key
-from tandem.operators.pairs import dedup_pairs
+from tandem.operators.pairs import keyed_pairs
 from tandem.sources.versions import Changed, file_system, latest, publish
 from tandem.streaming.trigger import with_trigger
 
@@ -65,10 +66,10 @@ def read_corpus(spark: SparkSession, path: str, at: Snapshot | None = None) -> D
     at = snapshot(spark, path) if at is None else at
     if at.version < 0:
         raise FileNotFoundError(f"no corpus in {path}")
-    rows = spark.createDataFrame([], at.columns)
-    for name in (*([at.base] if at.base else ()), *at.young):
-        rows = rows.unionByName(_folder(spark, path, name, at.columns).select(*rows.columns))
-    return rows
+    names = StructType.fromDDL(at.columns).names
+    folders = (*([at.base] if at.base else ()), *at.young)
+    rows = [_folder(spark, path, name, at.columns).select(*names) for name in folders]
+    return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame([], at.columns)
 
 
 def known_keys(spark: SparkSession, path: str, at: Snapshot, batch: DataFrame) -> DataFrame:
@@ -78,7 +79,7 @@ def known_keys(spark: SparkSession, path: str, at: Snapshot, batch: DataFrame) -
     The prefixes, at most 16**MOST_DIGITS, prune the base's folders before it is listed for reading;
     a handful of keys is also given by value, and files whose Bloom filter lacks them are passed over.
     """
-    keys = spark.createDataFrame([], "pair_key binary")
+    keys = [_folder(spark, path, name, at.columns).select("pair_key") for name in at.young]
     if at.base:
         old = _folder(spark, path, at.base, at.columns + ", prefix string")
         wanted = [r[0] for r in batch.select(prefix(at.digits)).distinct().collect()]
@@ -86,10 +87,8 @@ def known_keys(spark: SparkSession, path: str, at: Snapshot, batch: DataFrame) -
         few = [bytes(r[0]) for r in batch.select("pair_key").limit(KEYS_BY_VALUE + 1).collect()]
         if len(few) <= KEYS_BY_VALUE:
             old = old.filter(F.col("pair_key").isin(few))
-        keys = keys.unionByName(old.select("pair_key"))
-    for name in at.young:
-        keys = keys.unionByName(_folder(spark, path, name, at.columns).select("pair_key"))
-    return keys
+        keys.insert(0, old.select("pair_key"))
+    return reduce(DataFrame.unionByName, keys) if keys else spark.createDataFrame([], "pair_key binary")
 
 
 def append_batch(
@@ -107,7 +106,7 @@ def append_batch(
     at = snapshot(spark, path)
     if batch_id is not None and at.batches.get(writer, -1) >= batch_id:
         return False
-    first = dedup_pairs(batch, order).withColumn("pair_key", pair_key(F.col("source"), F.col("target"))).persist()
+    first = keyed_pairs(batch, order).persist()
     try:
         new = first
         if at.version >= 0:

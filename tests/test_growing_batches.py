@@ -8,7 +8,7 @@ from tandem.functions.text import pair_key
 from tandem.operators.pairs import dedup_pairs, keyed_pairs
 
 
-@pytest.mark.parametrize("query, operator, batches", [("corpus_growth", "stream_append", 3)])
+@pytest.mark.parametrize("query, operator, batches", [("corpus_growth", "stream_append", 3), ("corpus_compacted", "stream_grow", 4)])
 def test_more_input_makes_larger_batches_not_more(spark, tmp_path, monkeypatch, query, operator, batches):
     text = [(i, f"a{i}\nb{i % 40}\nA{i % 30}\nB", "en") for i in range(360)]
     docs = spark.createDataFrame(text, "doc_id long, text string, lang string")
