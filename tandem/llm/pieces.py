@@ -29,7 +29,9 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Numbers that stand for no piece: a character without one, and the start of a word.
 NO_PIECE, START = -1, -2
 #: Encoded words that a worker keeps, the longest of them, and the cells of a batch of the search.
-CACHED, CACHED_CHARS, CELLS = 600_000, 48, 1 << 18
+CACHED, CACHED_CHARS, CELLS = 1_000_000, 48, 1 << 18
+#: Slots, as a power of two, for pairs of pieces of which it is known whether merges leave them apart.
+MET_BITS = 21
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -58,25 +60,44 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class Probe:
-    """Sorted 64-bit keys to search in. A table of their hashes, mostly empty, spares the search for
-    most keys that are not there."""
+    """A table of 64-bit keys to look up in: each lies in the first free slot from its hash on."""
 
     BITS = 20
 
     def __init__(self, keys: np.ndarray):
-        self.keys, self.taken = keys, np.zeros(1 << self.BITS, bool)
-        self.taken[self._slot(keys)] = True
+        self.bits = max(self.BITS, int(4 * len(keys)).bit_length())
+        self.place, self.taken = np.full(1 << self.bits, -1, np.int32), np.zeros(1 << self.bits, bool)
+        self.keys, left = keys, np.arange(len(keys), dtype=np.int32)
+        slot = self._slot(keys)
+        while len(left):
+            free = self.place[slot] < 0
+            self.place[slot[free]] = left[free]
+            again = self.place[slot] != left
+            left, slot = left[again], (slot[again] + 1) & ((1 << self.bits) - 1)
+        self.taken[self.place >= 0] = True  # a small table that spares most keys that are not there the rest
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.view(np.uint64) * BASE) >> np.uint64(64 - self.BITS)
+        return ((keys.view(np.uint64) * BASE) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The indices of those of ``keys`` that are there, and their places among the sorted ones."""
-        which = np.flatnonzero(self.taken[self._slot(keys)])
-        some = keys[which]
-        at = np.minimum(np.searchsorted(self.keys, some), len(self.keys) - 1)
-        hit = self.keys[at] == some
-        return which[hit], at[hit]
+        """The indices of those of ``keys`` that are there, in order, and their places among all keys."""
+        slot = self._slot(keys)
+        live = np.flatnonzero(self.taken[slot])
+        which, places = [], []
+        slot, some = slot[live], keys[live]
+        at = self.place[slot]
+        while len(live):
+            hit = self.keys[at] == some
+            which.append(live[hit])
+            places.append(at[hit])
+            live, slot, some = live[~hit], (slot[~hit] + 1) & ((1 << self.bits) - 1), some[~hit]
+            at = self.place[slot]
+            live, slot, some, at = live[at >= 0], slot[at >= 0], some[at >= 0], at[at >= 0]
+        if len(which) < 2:
+            return (which[0], places[0]) if which else (live, at)
+        found = np.concatenate(which)
+        order = np.argsort(found, kind="stable")
+        return found[order], np.concatenate(places)[order]
 
 
 class Pieces:
@@ -183,19 +204,40 @@ class Pieces:
                 self.left[i], self.right[i] = self.number[parts[0]], self.number[parts[1]]
                 reached.add(i)
         keys = np.array(sorted(pairs), np.int64)
+        self.met = None
         self.pairs, self.pair_ranks = Probe(keys), np.array([pairs[k] for k in keys.tolist()], np.int64)
         return [i for i in usable if i in reached]
 
     def stay_apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the merges of the joint text of pieces a and b end in a and b.
 
+        Answers for the pairs met last are kept, each in the one slot of its hash.
+        """
+        if self.met is None:  # made where it is used: it does not travel
+            self.met = np.full(1 << MET_BITS, -1, np.int64)
+        ok = np.ones(len(a), bool)
+        live = np.flatnonzero((a >= 0) & (b >= 0))
+        key = a[live].astype(np.int64) * len(self.text) + b[live]
+        slot = ((key.view(np.uint64) * BASE) >> np.uint64(64 - MET_BITS)).view(np.int64)
+        kept = self.met[slot]
+        answer = (kept & 1).astype(bool)
+        new = np.flatnonzero(kept >> 1 != key)
+        if len(new):
+            pairs, back = np.unique(key[new], return_inverse=True)
+            found = self._seams(*np.divmod(pairs, len(self.text)))
+            answer[new] = found[back]
+            self.met[slot[new]] = key[new] << 1 | answer[new]
+        ok[live] = answer
+        return ok
+
+    def _seams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``stay_apart`` worked out for pieces that are numbered.
+
         The merges are undone from the last one, at the seam only. If the two pieces that meet there
         make a piece by an earlier merge than the one just undone, that merge would have come first.
         At one rank the merge further left comes first.
         """
-        ok = np.ones(len(a), bool)
-        live = np.flatnonzero((a >= 0) & (b >= 0))
-        x, y = a[live].astype(np.int64), b[live].astype(np.int64)
+        ok, live, x, y = np.ones(len(a), bool), np.arange(len(a)), a, b
         limit = np.full(len(live), np.iinfo(np.int64).max)
         while len(live):
             which, at = self.pairs(x * len(self.text) + y)
@@ -210,20 +252,18 @@ class Pieces:
             x, y = np.where(undo_x, self.right[x], x), np.where(undo_x, y, self.left[y])
         return ok
 
-    def find(self, keys: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """The pieces that substrings are, or NO_PIECE.
+    def find(self, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The substrings that are pieces: their rows and columns in ``keys``, row by row, and the pieces.
 
         ``keys`` are the hashes of the substrings of each word that end at one place, a row a width,
         the widest first; ``seen`` are the last characters of each word up to there. Substrings whose
         hash is that of a piece are compared with it character by character.
         """
-        found = np.full(keys.shape, NO_PIECE, np.int32)
         which, at = self.probe(keys.ravel())
         k, word = np.divmod(which, keys.shape[1])
         same = (seen[word] == self.chars[at]) | self.outside[at]
         hit = (self.lengths[at] == len(keys) - k) & same.all(axis=1)
-        found[k[hit], word[hit]] = self.ids[at[hit]]
-        return found
+        return k[hit], word[hit], self.ids[at[hit]]
 
     def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pieces of equally long words, all in one row, and the number of pieces of each word."""
@@ -241,22 +281,27 @@ class Pieces:
         for j in range(1, length + 1):
             widest = min(self.longest, j)
             keys = prefix[j] - prefix[j - widest : j] * self.power[widest:0:-1, None]
-            piece = self.find(keys, padded[:, j : j + self.longest])
+            k, row, piece = self.find(keys, padded[:, j : j + self.longest])
             if self.model_type == UNIGRAM:
-                score = np.where(piece >= 0, self.score[piece], -np.inf)
-                score[-1][piece[-1] < 0] = self.unknown_score
-            else:
-                score = np.where(piece >= 0, 0.0, -np.inf)
-                score[-1] = 0.0
-            weight = best[j - widest : j] + score
-            if self.model_type == BPE:
-                k, row = np.nonzero(weight > -np.inf)
-                apart = self.stay_apart(last[j - widest + k, row], piece[k, row])
-                weight[k[~apart], row[~apart]] = -np.inf
-            pick = weight.argmax(axis=0)
-            best[j] = weight[pick, rows]
-            last[j] = piece[pick, rows]
-            back[:, j] = widest - pick
+                weight = np.full((widest, n), -np.inf)
+                pieces = np.full((widest, n), NO_PIECE, np.int32)
+                weight[-1], weight[k, row], pieces[k, row] = self.unknown_score, self.score[piece], piece
+                weight += best[j - widest : j]
+                pick = weight.argmax(axis=0)
+                best[j], last[j] = weight[pick, rows], pieces[pick, rows]
+                back[:, j] = widest - pick
+                continue
+            # The last character can always stand alone, as a piece or as none.
+            alone = np.full(n, NO_PIECE, np.int32)
+            single = np.searchsorted(k, widest - 1)
+            alone[row[single:]] = piece[single:]
+            k = np.concatenate([k[:single], np.full(n, widest - 1)])
+            row, piece = np.concatenate([row[:single], rows]), np.concatenate([piece[:single], alone])
+            open_ = np.flatnonzero(best[j - widest + k, row] == 0.0)
+            k, row, piece = k[open_], row[open_], piece[open_]
+            apart = self.stay_apart(last[j - widest + k, row], piece)[::-1]
+            k, row, piece = k[::-1][apart], row[::-1][apart], piece[::-1][apart]  # the widest comes last
+            best[j, row], last[j, row], back[row, j] = 0.0, piece, widest - k
         kept = np.zeros((n, length + 1), bool)
         at, live = np.full(n, length), rows
         while len(live):
