@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tandem.llm.common import file_system, sent
+from tandem.llm.common import BLANKS, file_system, sent
 from tandem.sources.workspace import fresh_path, stage
 
 MAGIC = b"TANDEMBP"
@@ -26,7 +27,9 @@ CHUNK = 1 << 16
 #: Ids after which a task begins its next file.
 FILE_IDS = 1 << 25
 #: Encoded pieces of text that a worker keeps, and the longest of them.
-CACHED, CACHED_CHARS = 700_000, 48
+CACHED, CACHED_BYTES = 700_000, 48
+#: Bytes of text after which a block of documents, encoded at once, ends.
+BLOCK_BYTES = 1 << 20
 IDS = np.dtype("<u4")
 
 
@@ -148,35 +151,49 @@ class PlaneReader:
 class ChunkedEncoder:
     """Ids of whole texts, with the ids of their words kept from text to text.
 
-    The vocabulary's pre-tokens never reach across a single blank or line feed between other
-    characters, so such a text may be cut there and equal cuts encoded once. Texts with other white
-    space, and those that hold the string of a special token, are encoded whole. Ids are those of the
-    library on the whole text either way.
+    Texts are cut where no pre-token of the vocabulary reaches across; of equal cuts in a call one is looked
+    up, and those not yet met are encoded by the library. Cuts lie at single blanks and line feeds between other
+    characters; texts with other white space, and those that hold the string of a special token, are encoded
+    whole. Ids are those of the library on the whole text either way.
 
-    Where the vocabulary cuts as GPT-2's does, a word of common letters, with or without marks after them, is
-    two pre-tokens at most; those go to the library's model at once, which spares its search for cuts.
+    Where the vocabulary cuts as GPT-2's does, the last of several blanks, tabs and line ends goes with what
+    follows and the others are one pre-token, and a letter always ends one if no letter follows; texts are cut
+    there too. Common letters, digits or marks alone are one pre-token: they go to the library's model at once,
+    which spares its search for cuts.
     """
 
-    PLAIN = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+    #: One pre-token: letters below U+0250, digits, or ASCII marks without the apostrophe.
+    PLAIN = re.compile(" ?(?:[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]+|[!-&(-/:-@\\[-`{-~]+)")
     #: The characters that byte-level models write for bytes, by the byte.
     SIGNS = {b: 256 + k for k, b in enumerate((*range(33), *range(127, 161), 173))}
+    #: Kinds of bytes: white space, other ASCII but letters, letters, and what begins letters of two bytes.
+    WHITE, MARK, LETTER, LEAD = 1, 2, 3, 4
+    KINDS = np.repeat(np.array([MARK, 0, LEAD, 0], np.uint8), [0x80, 0x43, 0x06, 0x37])
+    KINDS[[ord(c) for c in BLANKS]] = WHITE
+    KINDS[ord("A") : ord("Z") + 1] = KINDS[ord("a") : ord("z") + 1] = LETTER
 
-    #: All white space, by any definition, but blank and line feed.
-    ODD = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")
+    #: All white space, by any definition.
+    SPACES = tuple(c for c in map(chr, range(0x3001)) if c.isspace())
 
     def __init__(self, tokenizer_json: str):
         self.vocabulary, self.tokenizer = tokenizer_json, None
         rules = json.loads(tokenizer_json)
-        self.special = tuple(x["content"] for x in rules.get("added_tokens", ()))
         cuts, model = rules.get("pre_tokenizer") or {}, rules.get("model") or {}
         self.plain = (
             cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space", True)
             and model.get("type") == "BPE" and not model.get("dropout")
             and not any(rules.get(x) for x in ("normalizer", "truncation", "padding"))
         )
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}  # as a text begins, or a line
-        self.after: dict[str, bytes] = {}  # with a blank before
+        single = ("  ", "\n\n", " \n", "\n ")
+        #: What keeps a text from being cut.
+        self.odd = (
+            *(() if self.plain else single),
+            *(x["content"] for x in rules.get("added_tokens", ())),
+            *(c for c in self.SPACES if c not in (BLANKS if self.plain else " \n")),
+        )
+        #: Ids by piece: those met lately, and the half before.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _library(self):
         if self.tokenizer is None:  # made where it is used: it does not travel
@@ -190,82 +207,94 @@ class ChunkedEncoder:
         return [struct.pack(f"<{len(x)}I", *x.ids) for x in found]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """``_encode`` of single words, with or without a blank before."""
+        """``_encode`` of pieces that a text was cut into."""
         if not self.plain or not words:
             return self._encode(words)
         found: list[bytes | None] = []
-        model = self._library().model
+        plain, tokenize = self.PLAIN.fullmatch, self._library().model.tokenize
         for word in words:
-            match = self.PLAIN.fullmatch(word)
-            if match is None:
+            if not plain(word):
                 found.append(None)
                 continue
-            letters, marks = match.groups()
-            if letters.isascii():
-                letters = letters.replace(" ", "\u0120")
+            if word.isascii():
+                word = word.replace(" ", "\u0120")
             else:
-                letters = letters.encode().decode("latin-1").translate(self.SIGNS)
-            ids = [x.id for x in model.tokenize(letters)]
-            if marks:
-                ids += [x.id for x in model.tokenize(marks)]
+                word = word.encode().decode("latin-1").translate(self.SIGNS)
+            ids = [x.id for x in tokenize(word)]
             found.append(struct.pack(f"<{len(ids)}I", *ids))
         rest = iter(self._encode([x for x, ids in zip(words, found) if ids is None]))
         return [next(rest) if ids is None else ids for ids in found]
 
     def _odd(self, text: str) -> bool:
-        return any(x in text for x in ("  ", "\n\n", " \n", "\n ")) or any(
-            c in text for c in (*self.special, *self.ODD)
-        )
+        return any(x in text for x in self.odd)
+
+    def _cuts(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the pieces of texts that lie one after another begin, and the end of the last."""
+        kind = self.KINDS[raw]
+        cut = np.zeros(len(raw) + 1, bool)
+        white = kind == self.WHITE
+        if len(raw):
+            more = np.append(white[1:], True)  # white space or the text's end comes next
+            more[starts - 1] = True
+            last = white & ~more
+            cut[:-1] = last
+            cut[1:-1] |= white[1:] & ~white[:-1]
+            cut[1:] |= last & (raw != 0x20)
+        if self.plain:
+            letter = kind == self.LETTER
+            # Of the letters of two bytes, the signs of times and division are none.
+            letter[1:] |= (kind[:-1] == self.LEAD) & ~((raw[:-1] == 0xC3) & ((raw[1:] | 0x20) == 0xB7))
+            cut[1:-1] |= letter[:-1] & (kind[1:] == self.MARK)
+        cut[starts] = cut[-1] = True
+        return np.flatnonzero(cut)
+
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of different pieces; of those met in earlier calls, the kept ones."""
+        if len(self.known) > CACHED // 2:
+            # Words that are met again come back from the older half; the others go.
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        found = list(map(known.get, words))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = iter(self._encode_words([words[k].decode() for k in missing if words[k] not in older]))
+        for k in missing:
+            word = words[k]
+            found[k] = ids = older[word] if word in older else next(new)
+            if len(word) <= CACHED_BYTES:
+                known[word] = ids
+        return found
+
+    def _encode_cut(self, texts: list[str]) -> list[bytes]:
+        """``_encode`` of texts that may be cut."""
+        raw = [x.encode() for x in texts]
+        ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+        starts = np.append(0, ends)[:-1]
+        raw = np.frombuffer(b"".join(raw), np.uint8)
+        cuts = self._cuts(raw, starts)
+        if len(cuts) < 2:
+            return [b""] * len(texts)
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(raw)]
+        ).dictionary_encode()
+        ids = pa.array(self._ids_of(pieces.dictionary.to_pylist()), pa.large_binary()).take(pieces.indices)
+        _, places, data = ids.buffers()
+        places, data = np.frombuffer(places, np.int64), memoryview(data or b"")
+        spans = zip(places[np.searchsorted(cuts, starts)], places[np.searchsorted(cuts, ends)])
+        return [bytes(data[a:b]) for a, b in spans]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        bare, after = self.bare, self.after
-        if len(bare) + len(after) > CACHED // 2:
-            # Words that are met again come back from the older half; the others go.
-            self.older = after
-            bare, after = self.bare, self.after = {}, {}
-        cut = [None if self._odd(x) else x.split(" ") for x in texts]
-        odd = iter(self._encode([x for x, parts in zip(texts, cut) if parts is None]))
-        found, gaps, first, later = [], [], {"\n"}, set()
-        for parts in cut:
-            if parts is None:
-                found.append([next(odd)])
-                continue
-            ids = list(map(after.get, parts))
-            ids[0] = bare.get(parts[0])
-            found.append(ids)
-            if None in ids:
-                missing = [k for k, x in enumerate(ids) if x is None]
-                gaps.append((parts, ids, missing))
-                if missing[0] == 0:
-                    first.add(parts[0])
-                later.update([parts[k] for k in missing if k])
-        # Words round a line feed are put together from their halves and not kept.
-        halves = {x: x.split("\n") for x in (*first, *later) if "\n" in x and x != "\n"}
-        need_bare = {x for x in first if x not in halves}.union(*(h[1:] for h in halves.values()))
-        need_bare.update(halves[x][0] for x in first if x in halves)
-        need_after = {x for x in later if x not in halves}
-        need_after.update(halves[x][0] for x in later if x in halves)
-        need_bare, need_after = need_bare.difference(bare), need_after.difference(after)
-        bare.update(zip(need_bare, self._encode_words(list(need_bare))))
-        for x in need_after & self.older.keys():
-            after[x] = self.older[x]
-        new = list(need_after.difference(after))
-        after.update(zip(new, self._encode_words([" " + x for x in new])))
-        feed = bare["\n"]
-        for parts, ids, missing in gaps:
-            for k in missing:
-                word = parts[k]
-                known = after if k else bare
-                if word in halves:
-                    begin, *rest = halves[word]
-                    ids[k] = feed.join([known[begin], *(bare[x] for x in rest)])
-                else:
-                    ids[k] = known[word]
-        for known, new in ((after, need_after), (bare, need_bare)):
-            for x in new:
-                if len(x) > CACHED_CHARS:
-                    del known[x]
-        return [b"".join(ids) for ids in found]
+        odd = [self._odd(x) for x in texts]
+        whole = iter(self._encode([x for x, is_odd in zip(texts, odd) if is_odd]))
+        cut = iter(self._encode_cut([x for x, is_odd in zip(texts, odd) if not is_odd]))
+        return [next(whole if is_odd else cut) for is_odd in odd]
+
+
+def blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Begins and ends of blocks of texts: each ends where the bytes go over a multiple of ``BLOCK_BYTES``."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    number = np.cumsum(sizes, dtype=np.int64) // BLOCK_BYTES
+    ends = [*(np.flatnonzero(np.diff(number)) + 1).tolist(), len(texts)]
+    return zip([0, *ends], ends)
 
 
 def write_ids(
@@ -314,9 +343,9 @@ def write_ids(
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for k in range(0, len(doc_ids), 512):
-                texts = [x or "" for x in batch.column(1).slice(k, 512).to_pylist()]
-                for doc_id, ids in zip(doc_ids[k : k + 512], encode(texts)):
+            for a, b in blocks(batch.column(1)):
+                texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
+                for doc_id, ids in zip(doc_ids[a:b], encode(texts)):
                     if writer is None:
                         temporary = f"{path}/_{uuid.uuid4().hex}"
                         out = system.open_output_stream(temporary)

@@ -1,9 +1,12 @@
 """The short ways of the two encoders give what the long ones do."""
 
 import itertools
+import json
+import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tandem.llm import bitplanes, pieces
@@ -35,6 +38,52 @@ def test_words_have_the_ids_of_the_library():
     assert encoder(texts) == want and encoder(texts) == want
 
 
+def test_a_word_is_encoded_once_whatever_follows(monkeypatch):
+    with open(BPE, encoding="utf-8") as f:
+        encoder = bitplanes.ChunkedEncoder(f.read())
+    words, asked = encoder._encode_words, []
+    monkeypatch.setattr(encoder, "_encode_words", lambda pieces: asked.extend(pieces) or words(pieces))
+    encoder(["A word, word. word%%% word7 word's\n\n\tword  word!? word"])
+    once = ["A", " word", "word", ",", ".", "%%%", "7", "'s", "\n\n", "\t", " ", "!?"]
+    assert sorted(asked) == sorted(once)
+
+
+def test_cuts_have_the_ids_of_the_library():
+    signs = [*"  \n\n\t\r\x0b\x0c''abstreABST019.,!%<|", "é", "ß", "×", "÷", "Ȁ", "ȿ", "ɏ", "ɐ", "e\u0301", "ª", "²", "日", "𝒳"]
+    rare = ["\xa0", "\x85", "\x1c", "\u3000", "\u200d", "\u180e", "\x00", "\x7f", "<|endoftext|>"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choices(signs, k=draw.randrange(40))) for _ in range(4000)]
+    texts += ["".join(draw.choices(signs + rare, k=draw.randrange(40))) for _ in range(1000)]
+    with open(BPE, encoding="utf-8") as f:
+        rules = json.load(f)
+    lower = json.dumps(rules | {"normalizer": {"type": "Lowercase"}})
+    for vocabulary, plain in ((json.dumps(rules), True), (lower, False)):
+        encoder, library = bitplanes.ChunkedEncoder(vocabulary), Tokenizer.from_str(vocabulary)
+        assert encoder.plain == plain
+        want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        got = []
+        for k in range(0, len(texts), 250):
+            got += encoder(texts[k : k + 250])
+        assert got == want
+
+
+def test_few_kept_words(monkeypatch):
+    with open(BPE, encoding="utf-8") as f:
+        encoder = bitplanes.ChunkedEncoder(f.read())
+    monkeypatch.setattr(bitplanes, "CACHED", 6)
+    texts = [f"w{k % 7} and x{k % 3}" for k in range(40)] + ["long" * 30] * 2
+    want = [encoder._encode([x])[0] for x in texts]
+    assert [encoder([x])[0] for x in texts] == want and len(encoder.known) + len(encoder.older) < 20
+
+
+def test_blocks_of_texts(monkeypatch):
+    monkeypatch.setattr(bitplanes, "BLOCK_BYTES", 10)
+    texts = ["a" * n if n is not None else None for n in (3, 3, None, 3, 3, 50, 0, 1)]
+    found = list(bitplanes.blocks(pa.array(texts, pa.string())))
+    assert [k for a, b in found for k in range(a, b)] == list(range(8)) and len(found) == 3
+    assert list(bitplanes.blocks(pa.array([], pa.string()))) == [(0, 0)]
+
+
 def test_probe_finds_keys_that_share_slots():
     rng = np.random.default_rng(3)
     inverse = np.uint64(pow(int(pieces.BASE), -1, 1 << 64))
